@@ -8,10 +8,13 @@ context, tracked through the rounds. A window that holds a symbol with its whole
 the window occurs. Each window takes one such symbol of the highest level there, by least name, as its anchor;
 a window inside a long run has none, and is its own anchor.
 
-Spark rounds: (1) each document emits its different anchors, named by the words of their contexts; those in one
-document only are dropped, and with them their windows. (2) Windows with a shared anchor are named by 128 bits
-of their 13 words; each name's first document is found. (3) Windows that start in a smaller document are
-marked, and each document drops the words that they cover.
+Consecutive windows of one anchor are a segment, named by all words that they cover.
+
+Spark rounds: (1) each document emits its segments; those whose anchor is in no other document are dropped. (2)
+Where all documents have the same segment around an anchor, all its windows start first in the smallest of them, and
+nothing is left to compare. (3) Where segments differ, at the ends of common passages, their windows are named
+one by one by 128 bits of their 13 words, and each name's first document is found. (4) Each document drops the
+words of its windows that start in a smaller document.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspan.llm.common import fields, flat_map, map_rows, materialise, release_shuffles
+from tallyspan.llm.common import discard, fields, flat_map, map_rows, materialise
 
 WINDOW = 13
-ROUNDS = 3
+ROUNDS = 2
 #: Words that a symbol may stand for; longer ones would not fit into a window with their contexts.
 LONGEST = 5
 _B1, _B2, _B3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -134,10 +137,7 @@ def anchors(w: np.ndarray, begins: np.ndarray, window: int = WINDOW) -> tuple[np
     n = len(w)
     out = np.zeros(n, np.uint64)
     open_ = inside.copy()
-    # Any span's hash: sums of word * base^place, moved to a common place by the inverse.
-    total = np.zeros(n + 1, np.uint64)
-    np.add.accumulate(w * _powers(int(_B1), n + 1)[:-1], out=total[1:])
-    back = _powers(pow(int(_B1), -1, 1 << 64), n + 1)
+    total, back = _sums(w, _B1)
     for depth, (name, lo, hi) in reversed(list(enumerate(recompress(w, begins)))):
         use = (lo >= 0) & (hi <= n) & (hi - lo <= window)
         name, lo, hi = name[use], lo[use], hi[use]
@@ -170,6 +170,21 @@ def anchors(w: np.ndarray, begins: np.ndarray, window: int = WINDOW) -> tuple[np
     return at, out[at]
 
 
+def _sums(w: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of word * base^place, and the inverse powers that move a difference of them to a common place."""
+    total = np.zeros(len(w) + 1, np.uint64)
+    np.add.accumulate(w * _powers(int(base), len(w) + 1)[:-1], out=total[1:])
+    return total, _powers(pow(int(base), -1, 1 << 64), len(w) + 1)
+
+
+def _ranges(w: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words in each range."""
+    total, back = _sums(w, _B3)
+    return _mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64) * _B2)
+
+
+_SEGMENTS = fields(anchor="long", whole="long", doc="long", th="long", pos="int", n="int")
+_WINDOWS = fields(x="long", y="long", doc="long", th="long", pos="int")
 #: Words of documents that are handled at once; a larger document goes alone.
 GROUP = 100_000
 
@@ -203,44 +218,49 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, doc: str = "doc_id",
         names = _Names()
 
         def run(ids, ths, texts):
-            cols: list[list] = [[], [], []]
+            cols: list[list] = [[] for _ in _SEGMENTS.fields]
             ids, ths = np.array(ids, np.int64), np.array(ths, np.int64)
             for rows, w, begins in _groups(texts, names):
                 at, found = anchors(w, begins, window)
-                row = np.array(rows)[np.searchsorted(begins, at, "right") - 1]
-                order = np.lexsort((found, row))
-                row, found = row[order], found[order]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
-                row, found = row[new], found[new]
-                for c, v in zip(cols, (found.view(np.int64), ids[row], ths[row]), strict=True):
+                if not len(at):
+                    continue
+                which = np.searchsorted(begins, at, "right") - 1
+                new = np.ones(len(at), bool)
+                new[1:] = (which[1:] != which[:-1]) | (found[1:] != found[:-1])
+                first = np.nonzero(new)[0]
+                count = np.append(first[1:], len(at)) - first
+                start, which = at[first], which[first]
+                row = np.array(rows)[which]
+                whole = _ranges(w, start, start + count + window - 1)
+                for c, v in zip(cols, (found[first].view(np.int64), whole.view(np.int64), ids[row], ths[row], (start - begins[which]).astype(np.int32), count.astype(np.int32)), strict=True):
                     c.append(v)
             return [np.concatenate(c) if c else [] for c in cols]
 
         return run
 
-    spark = docs.sparkSession
-    found = materialise(flat_map(src, ["doc", "th", "text"], fields(anchor="long", doc="long", th="long"), emit), "anchors")
+    found = materialise(flat_map(src, ["doc", "th", "text"], _SEGMENTS, emit), "segments")
     shared = found.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("anchor")
-    # Anchors of one document only, as many as it has itself.
-    of_doc = materialise(found.join(shared, "anchor", "left_semi").groupBy("doc", "th").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
-    release_shuffles(spark)
-    right = of_doc.select(F.col("doc").alias("d2"), F.col("th").alias("t2"), "anchors").hint("shuffle_hash")
-    suspects = src.join(right, (F.col("doc") == F.col("d2")) & (F.col("th") == F.col("t2"))).select("doc", "th", "text", "anchors")
+    common = materialise(found.join(shared, "anchor", "left_semi"), "shared-segments")
+    discard(found)
+    kinds = common.groupBy("anchor").agg(F.min("doc").alias("low"), F.min("whole").alias("a"), F.max("whole").alias("b"))
+    kinds = kinds.select("anchor", "low", (F.col("a") == F.col("b")).alias("same"))
+    judged = materialise(common.join(kinds, "anchor").where("not same or doc > low").select("doc", "th", "pos", "n", "same"), "judged")
+    discard(common)
+    # Segments of one document only.
+    ranges = judged.where("not same").groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "n")).alias("at"))
+    right = ranges.select(F.col("doc").alias("d2"), F.col("th").alias("t2"), F.col("at.pos").alias("first"), F.col("at.n").alias("count")).hint("shuffle_hash")
+    suspects = src.join(right, (F.col("doc") == F.col("d2")) & (F.col("th") == F.col("t2"))).select("doc", "th", "text", "first", "count")
 
     def name():
         names = _Names()
 
-        def run(ids, ths, texts, sets):
-            cols: list[list] = [[], [], [], [], []]
+        def run(ids, ths, texts, firsts, counts):
+            cols: list[list] = [[] for _ in _WINDOWS.fields]
             ids, ths = np.array(ids, np.int64), np.array(ths, np.int64)
             for rows, w, begins in _groups(texts, names):
-                at, found = anchors(w, begins, window)
-                # Anchors that any row of the group shares; one that only another row shares does no harm.
-                known = np.unique(np.concatenate([np.array(sets[k], np.int64) for k in rows]))
-                at = at[np.isin(found.view(np.int64), known)]
-                if not len(at):
-                    continue
+                each = np.concatenate([np.array(counts[k], np.int64) for k in rows])
+                start = np.concatenate([np.array(firsts[k], np.int64) + b for k, b in zip(rows, begins.tolist(), strict=True)])
+                at = np.repeat(start, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
                 which = np.searchsorted(begins, at, "right") - 1
                 row = np.array(rows)[which]
                 x, y = _spans(w, window, _B1)[at], _spans(w, window, _B3)[at]
@@ -250,15 +270,23 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, doc: str = "doc_id",
 
         return run
 
-    wins = materialise(flat_map(suspects, ["doc", "th", "text", "anchors"], fields(x="long", y="long", doc="long", th="long", pos="int"), name), "windows")
-    release_shuffles(spark)
+    wins = materialise(flat_map(suspects, ["doc", "th", "text", "first", "count"], _WINDOWS, name), "windows")
     first = wins.groupBy("x", "y").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("x", "y", "low")
-    late = wins.join(first, ["x", "y"]).where(F.col("doc") > F.col("low")).select("doc", "th", "pos")
-    # Positions of one document only.
-    by_doc = late.groupBy("doc", "th").agg(F.collect_set("pos").alias("pos"))
-    starts = map_rows(by_doc, ["doc", "th"], ["pos"], fields(starts="binary"), lambda: lambda rows: [[np.sort(np.array(r, "<i4")).tobytes() for r in rows]])
-    starts = materialise(starts, "starts")
-    release_shuffles(spark)
+    late = wins.join(first, ["x", "y"]).where(F.col("doc") > F.col("low")).select("doc", "th", "pos", F.lit(1).alias("n"))
+    late = late.unionByName(judged.where("same").select("doc", "th", "pos", "n"))
+    # Places of one document only.
+    by_doc = late.groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "n")).alias("at")).select("doc", "th", F.col("at.pos").alias("first"), F.col("at.n").alias("count"))
+
+    def pack():
+        def one(first, count):
+            first, count = np.array(first, np.int64), np.array(count, np.int64)
+            return np.unique(np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype("<i4").tobytes()
+
+        return lambda firsts, counts: [[one(a, b) for a, b in zip(firsts, counts, strict=True)]]
+
+    starts = materialise(map_rows(by_doc, ["doc", "th"], ["first", "count"], fields(starts="binary"), pack), "starts")
+    discard(judged)
+    discard(wins)
     return starts
 
 
