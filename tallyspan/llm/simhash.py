@@ -1,16 +1,18 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Fingerprints at 3 or fewer differing bits are linked. Equal ones are one node. A fingerprint with an even
-number of set bits emits itself and all variants at one flipped bit; an odd one emits also variants at two
-flipped bits. At distance 1 or 3 one end is even and the other odd, so 1 + 2 flips meet; at distance 2 both
-ends meet halfway. Of three flipped bits two lie in the same half of the word, so the pairs of flips need not
-cross the halves. Within a variant's group every member at one flip or less is within three bits of all others
-there, so one edge a member to the smallest such member keeps all links: no pairs are made, and each is right.
-Members at two flips that only meet each other are linked through another variant if at all.
-
-A group is at most the 1 + 64 + 992 fingerprints around its variant. Before that, a cheap necessary test:
-the three bits leave one half of the word with at most one flip, so a fingerprint that shares neither half, up
-to one flip, with any other can't have a link and emits nothing.
+Fingerprints at 3 or fewer differing bits are linked; equal ones are one node. Half of the radius is one flip, and
+one flip from either end meets only at two bits. So the word is cut in thirds: leaving out one of them leaves two or
+fewer of three bits in the others. For each third left out, a fingerprint emits the rest of its bits and all
+variants of these at one flip: 132 rows. Those shuffled to one variant are candidates; they are verified.
+
+A group of up to PAIRED fingerprints compares its members. The members of larger groups, which only dense
+clusters of near copies make, go another exact way, in which no pairs are compared: variants of the whole
+word. A fingerprint with an even number of set bits emits itself and its variants at one flip; an odd one
+also those at two. At distance 1 or 3 one end is even and the other odd, so 1 + 2 flips meet; at distance 2 both
+ends meet halfway. Of three flipped bits two lie in the same half of the word, so pairs of flips need not
+cross the halves. All members of such a group at one flip or less and any other member are within three bits, so one
+edge a member to the smallest of the former keeps all links. Members at two flips that only meet each
+other are linked through another variant if at all. Such a group has at most 1 + 64 + 992 members.
 """
 
 from __future__ import annotations
@@ -66,32 +68,63 @@ def _longs(values: list[int]):
     return F.array(*[F.lit(v).cast("long") for v in values])
 
 
-def _odd(x):
-    return F.bit_count(x) % 2 == 1
+#: Members up to which a group of candidates compares each with each.
+PAIRED = 32
+_THIRDS = ((0, 21), (21, 43), (43, 64))
 
 
-def _with_mates(fps: DataFrame) -> DataFrame:
-    """Fingerprints of which another one shares a half of the word, up to one flipped bit."""
-    halves = fps.select("fp", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("half")),
-        F.struct(F.lit(1).alias("side"), F.shiftrightunsigned("fp", 32).alias("half")),
-    )).alias("x")).select("fp", "x.*")
-    flips = F.when(_odd(F.col("half")), _longs([0, *[1 << i for i in range(32)]])).otherwise(_longs([0]))
-    keys = halves.select("fp", "side", "half", F.explode(flips).alias("flip")).select("fp", "side", F.col("half").bitwiseXOR(F.col("flip")).alias("key"))
-    shared = keys.groupBy("side", "key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("side", "key")
-    return keys.join(shared, ["side", "key"], "left_semi").select("fp").distinct()
+def _cuts():
+    """(out, flips): for each third, its bits, and no flip or one of the others."""
+    for a, b in _THIRDS:
+        yield _signed((1 << b) - (1 << a)), [0, *[_signed(1 << i) for i in range(64) if not a <= i < b]]
+
+
+def _exploded(df: DataFrame, flips: bool) -> DataFrame:
+    """``df`` once for each third, as column out, and with ``flips`` for each flip outside of it."""
+    pair = lambda out, flip: F.struct(F.lit(out).cast("long").alias("out"), F.lit(flip).cast("long").alias("flip"))
+    made = [pair(out, flip) for out, all_flips in _cuts() for flip in (all_flips if flips else [0])]
+    return df.select("*", F.explode(F.array(*made)).alias("v")).select(*df.columns, "v.*")
+
+
+def _variants(fps: DataFrame) -> DataFrame:
+    """(key, fp): for each third left out, here set to ones, the rest and its variants at one flip."""
+    return _exploded(fps, True).select(F.col("fp").bitwiseOR(F.col("out")).bitwiseXOR(F.col("flip")).alias("key"), "fp")
+
+
+def _members(fps: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, fp, n) for few keys (key, n): the ball is put around the keys, so each fingerprint is dealt thrice only."""
+    centres = _exploded(keys, True).where(F.col("key").bitwiseAND(F.col("out")) == F.col("out")).select(F.col("key").bitwiseXOR(F.col("flip")).alias("at"), "key", "n")
+    plain = _exploded(fps, False).select(F.col("fp").bitwiseOR(F.col("out")).alias("at"), "fp")
+    return plain.join(centres.hint("shuffle_hash"), "at").select("key", "fp", "n").distinct()
+
+
+def _close(a, b):
+    return F.bit_count(a.bitwiseXOR(b)) <= RADIUS
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) between different fingerprints ``fp`` that join all those within three bits of each other."""
-    fps = materialise(_with_mates(fps), "mates")
+    """Edges (a, b) between different fingerprints ``fp`` (each there once) that join all within three bits."""
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = _variants(fps.repartition(parts)).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1 and a <> b")
+    sizes = materialise(sizes, "variant-groups")
+    twos = sizes.where("n = 2").select("a", "b").where(_close(F.col("a"), F.col("b"))).distinct()
+    members = materialise(_members(fps, sizes.where("n > 2").select("key", "n")), "members")
+    # At most PAIRED members.
+    some = members.where(F.col("n") <= PAIRED).groupBy("key").agg(F.collect_set("fp").alias("m"))
+    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: (b > a) & _close(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    some = some.select(F.explode_outer(pairs).alias("p")).where("p is not null").select("p.*").distinct()
+    dense = materialise(members.where(F.col("n") > PAIRED).select("fp").distinct(), "dense")
+    return twos.unionByName(some).unionByName(_dense_links(dense)).distinct()
+
+
+def _dense_links(fps: DataFrame) -> DataFrame:
     one, two = _longs([0, *_ONE]), _longs(_TWO)
     near = fps.select("fp", F.explode(one).alias("flip"), F.lit(True).alias("close"))
-    far = fps.where(_odd(F.col("fp"))).select("fp", F.explode(two).alias("flip"), F.lit(False).alias("close"))
+    far = fps.where(F.bit_count("fp") % 2 == 1).select("fp", F.explode(two).alias("flip"), F.lit(False).alias("close"))
     variants = near.unionByName(far).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), "fp", "close")
     groups = variants.groupBy("variant").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("a"), F.collect_list("fp").alias("members"))
     edges = groups.where("a is not null and size(members) > 1").select("a", F.explode("members").alias("b")).where("a <> b")
-    return edges.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
+    return edges.where(_close(F.col("a"), F.col("b")))
 
 
 def components(prints: DataFrame) -> DataFrame:
