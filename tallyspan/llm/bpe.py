@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tallyspan.llm.common import map_rows
 
 #: Distinct pieces that one worker remembers before it starts over.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 
 
 @lru_cache(maxsize=4)
@@ -117,27 +117,32 @@ class Codec:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        longest = [-1] * len(piece)
-        token = self.token
-        best = [0] * len(piece)
-        for end, r in self.automaton.iter(piece.decode("latin-1")):
-            n = len(token[r])
-            start = end + 1 - n
-            if n > best[start]:
-                best[start], longest[start] = n, r
+        token, compatible, shorter, find = self.token, self.compatible, self.shorter, self.automaton.iter_long
+        latin = piece.decode("latin-1")
+        # The longest tokens one after another; where these are compatible, as in half of all words, they are the result.
+        ids = [r for _, r in find(latin)]
+        longest, at, fit = {}, 0, True
+        for k, r in enumerate(ids):
+            longest[at] = r
+            at += len(token[r])
+            fit = fit and (not k or compatible(ids[k - 1], r))
+        if fit and at == len(piece):
+            return ids
         closed = bytearray(len(piece) + 1)
-        ids: list[int] = []
+        ids = []
         pos, t = 0, longest[0]
         while True:
             end = pos + len(token[t])
-            if not closed[end] and (not ids or self.compatible(ids[-1], t)):
+            if not closed[end] and (not ids or compatible(ids[-1], t)):
                 ids.append(t)
                 pos = end
                 if pos == len(piece):
                     return ids
-                t = longest[pos]
+                t = longest.get(pos, -1)
+                if t < 0:
+                    t = longest[pos] = next(find(latin, pos))[1]
                 continue
-            t = self.shorter(t)
+            t = shorter(t)
             if t < 0:
                 closed[pos] = 1
                 t = ids.pop()
