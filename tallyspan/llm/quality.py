@@ -1,8 +1,9 @@
 """Quality classifier: logistic regression over hashed word 1- and 2-grams, trained by FTRL-proximal updates.
 
 Words are runs of letters and digits or runs of other signs, in their own case. A word that repeats the one
-before it makes the same 2-gram whatever it is. A text is a sparse vector of damped counts with length 1, and
-its score the logistic of one sparse dot product, so any length of text has the same scale.
+before it, or the one before that, makes the same n-gram whatever it is. A text is a sparse vector of the square roots of its n-grams'
+shares, and its score the logistic of one sparse dot product. Its length is nearly 1 however long the text; a few
+words say little and stay near the bias.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from tallyspan.llm.common import fields, map_rows
 from tallyspan.llm.samples import fold, labelled
 
 BITS = 18
+#: N-grams that are added to a text's own count.
+SHORT = 20
 #: Labelled documents of each class that training takes at most.
 PER_CLASS = 1500
 _WORD = re.compile(r"\w+|[^\w\s]+")
@@ -41,17 +44,16 @@ def features(text: str | None, ids: _Ids) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0)
     pairs = (w[:-1] * np.uint64(_MIX) + w[1:] * np.uint64(_SAME)) >> np.uint64(7)
     pairs[w[:-1] == w[1:]] = _SAME
-    index = np.concatenate((w * np.uint64(_MIX) >> np.uint64(11), pairs)) & np.uint64((1 << BITS) - 1)
+    again = np.full(int((w[:-2] == w[2:]).sum()), _SAME >> 1, np.uint64)
+    index = np.concatenate((w * np.uint64(_MIX) >> np.uint64(11), pairs, again)) & np.uint64((1 << BITS) - 1)
     index, n = np.unique(index.astype(np.int64), return_counts=True)
-    x = 1 + np.log(n)
-    return index, x / np.sqrt(x @ x)
+    return index, np.sqrt(n / (n.sum() + SHORT))
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 3) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 8) -> tuple[np.ndarray, float]:
     """Weights and bias from (label, indices, weights); rows are taken in a fixed shuffled order."""
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    share = np.clip(np.mean([y for y, _, _ in rows]) if rows else 0.5, 0.01, 0.99)
     order = np.random.default_rng(0)
 
     def weights(i):
@@ -63,7 +65,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], alpha: float = 0.5, be
             i, v = np.append(index, size), np.append(x, 1.0)
             w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w @ v, -35, 35)))
-            g = (p - y) * v / (2 * (share if y else 1 - share))  # classes count alike
+            g = (p - y) * v
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
             z[i] += g - sigma * w
             n[i] += g * g
