@@ -21,9 +21,14 @@ def labelled(docs: DataFrame, labels: DataFrame, value: str, per_class: int, doc
     """
     ids = labels.select(F.col(doc).alias("id"), F.col(value).alias("label")).where("id is not null and label is not null")
     ids = ids.groupBy("id").agg(F.min("label").alias("label"))
-    # Spark keeps the first rows of each class per partition before it shuffles (WindowGroupLimit).
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    ids = materialise(ids.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_class).select("id", "label"), "sample")
+    # A share of the ids by hash leaves about twice the number asked for of each class, whatever its size; these are ranked.
+    share = ids.groupBy("label").agg((F.lit(2.0 * per_class) / F.count(F.lit(1))).alias("share"))
+    share = materialise(share, "class-shares")
+    few = share.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    ids = ids.withColumn("h", F.xxhash64("id")).join(F.broadcast(share) if few else share, "label").where(F.pmod("h", F.lit(1 << 31)) < F.col("share") * (1 << 31))
+    order = Window.partitionBy("label").orderBy(F.pmod("h", F.lit(1 << 31)), "id")
+    ids = ids.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_class)
+    ids = materialise(ids.select("id", "label"), "sample")
     if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     return docs.select(F.col(doc).alias("id"), F.col(text).alias("text")).join(ids, "id").select("label", "text")
