@@ -240,12 +240,17 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, doc: str = "doc_id",
 
     found = materialise(flat_map(src, ["doc", "th", "text"], _SEGMENTS, emit), "segments")
     shared = found.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("anchor")
+    # Written, so that the join reads both sides plainly and Spark can split the partition of a hot anchor.
+    shared = materialise(shared, "shared-anchors")
     common = materialise(found.join(shared, "anchor", "left_semi"), "shared-segments")
     discard(found)
+    discard(shared)
     kinds = common.groupBy("anchor").agg(F.min("doc").alias("low"), F.min("whole").alias("a"), F.max("whole").alias("b"))
     kinds = kinds.select("anchor", "low", (F.col("a") == F.col("b")).alias("same"))
+    kinds = materialise(kinds, "anchor-kinds")
     judged = materialise(common.join(kinds, "anchor").where("not same or doc > low").select("doc", "th", "pos", "n", "same"), "judged")
     discard(common)
+    discard(kinds)
     # Segments of one document only.
     ranges = judged.where("not same").groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "n")).alias("at"))
     right = ranges.select(F.col("doc").alias("d2"), F.col("th").alias("t2"), F.col("at.pos").alias("first"), F.col("at.n").alias("count")).hint("shuffle_hash")
@@ -272,6 +277,7 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, doc: str = "doc_id",
 
     wins = materialise(flat_map(suspects, ["doc", "th", "text", "first", "count"], _WINDOWS, name), "windows")
     first = wins.groupBy("x", "y").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("x", "y", "low")
+    first = materialise(first, "first-documents")
     late = wins.join(first, ["x", "y"]).where(F.col("doc") > F.col("low")).select("doc", "th", "pos", F.lit(1).alias("n"))
     late = late.unionByName(judged.where("same").select("doc", "th", "pos", "n"))
     # Places of one document only.
@@ -285,8 +291,8 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, doc: str = "doc_id",
         return lambda firsts, counts: [[one(a, b) for a, b in zip(firsts, counts, strict=True)]]
 
     starts = materialise(map_rows(by_doc, ["doc", "th"], ["first", "count"], fields(starts="binary"), pack), "starts")
-    discard(judged)
-    discard(wins)
+    for done in (judged, wins, first):
+        discard(done)
     return starts
 
 
