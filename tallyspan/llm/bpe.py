@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tallyspan.llm.common import map_rows
 
 #: Distinct pieces that one worker remembers before it starts over.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 250_000
 
 
 @lru_cache(maxsize=4)
@@ -89,7 +89,7 @@ class Codec:
     def compatible(self, left: int, right: int) -> bool:
         got = self.fits.get((left, right))
         if got is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 400_000:
                 self.fits.clear()
             got = self.fits[left, right] = self._border_stays(left, right)
         return got
