@@ -38,6 +38,16 @@ def test_bpe_on_long_pieces(codec, reference):
         assert codec.encode(text) == reference.encode_ordinary(text)
 
 
+def test_bpe_remembers_few_pieces(codec, reference, rng, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 3)
+    for text in [*random_texts(rng, 20), "x" * 300, "añ" * 40]:
+        got = list(map(codec.of, codec.find(text)))
+        ids = reference.encode_ordinary(text)
+        assert ",".join(g[0] for g in got if g[1]) == ",".join(map(str, ids)) and sum(g[1] for g in got) == len(ids)
+        assert b"".join(g[2] for g in got) == text.encode()
+    assert len(codec.seen) <= 3
+
+
 def test_bpe_digests(docs, rng, reference):
     rows = list(enumerate([*random_texts(rng, 30), None, "", "x" * 30000])) + [(None, "a b"), (5, "again"), (5, "again")]
     got = bpe.encode_digests(docs(rows, ""), PATH, public_tokenizers.PATTERN).collect()
