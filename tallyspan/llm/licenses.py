@@ -1,13 +1,14 @@
-"""License scans: winnowed fingerprints of templates pick candidates, a banded alignment confirms them.
+"""License scans: winnowed fingerprints of templates pick candidates, alignments of their stretches confirm them.
 
 Templates and documents are sequences of words. Of the hashes of a template's shingles of five words the least in
-each window is kept in an inverted index. Every shingle of a document is looked up there; hits of one
-template near one diagonal are a candidate, and its stretch of the document is aligned with the template in
-a band around that diagonal. Reported are matched coverage of the template and the span in the document.
+each window is kept in an inverted index. Every shingle of a document is looked up there; the stretches of
+the document around the hits of one template are aligned with it, and each may hold several matches.
+Reported are matched coverage of the template and the span in the document.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 
@@ -70,14 +71,17 @@ def align(template: list[str], text: list[str], shift: int, band: int = BAND) ->
     Returns that number and the first and last place of a matched word; of equal alignments the tightest.
     """
     m = len(template)
-    best: dict[int, tuple[int, int, int]] = {}  # by text place: matched, -first, last of what ends before or there
+    got = (0, 0, 0)  # matched, first - last, first
+    best: dict[int, tuple[int, int]] = {}  # by text place: matched, first of what ends before or there
     for i in range(m):
-        row: dict[int, tuple[int, int, int]] = {}
+        row: dict[int, tuple[int, int]] = {}
         for j in range(max(0, i + shift - band), min(len(text), i + shift + band + 1)):
-            a = max(best.get(j, (0, -(1 << 60), -1)), row.get(j - 1, (0, -(1 << 60), -1)))
+            a = max(best.get(j, (0, -1)), row.get(j - 1, (0, -1)))
             if template[i] == text[j]:
-                before = best.get(j - 1, (0, -(1 << 60), -1))
-                a = max(a, (before[0] + 1, before[1] if before[0] else -j, j))
+                before = best.get(j - 1, (0, -1))
+                here = (before[0] + 1, before[1] if before[0] else j)
+                got = max(got, (here[0], here[1] - j, here[1]))
+                a = max(a, here)
             row[j] = a
         # What ended before the band moved on stays reachable at its lower edge.
         low = i + shift - band
@@ -85,8 +89,61 @@ def align(template: list[str], text: list[str], shift: int, band: int = BAND) ->
         if edge is not None:
             row[low - 1] = max(edge, row.get(low - 1, edge))
         best = row
-    got = max(best.values(), default=(0, 0, -1))
-    return got[0], -got[1], got[2]
+    return (got[0], got[2], got[2] - got[1]) if got[0] else (0, 0, -1)
+
+
+def reach(template: list[str]) -> tuple[int, int]:
+    """Words of a template that a match has to hold, and words of text that it may span."""
+    m = len(template)
+    return math.ceil(round(COVERAGE * m, 9)), m + 2 * BAND if m >= SHINGLE else m
+
+
+def occurrences(template: list[str], text: list[str]) -> list[tuple[int, int, int]]:
+    """(matched words, first, end) of disjoint matches of ``template`` in ``text``: as many as there can be.
+
+    They are counted from the left by the earliest end. Each is then the span with most matched words between the
+    one before and the next; of equal ones the tightest, then the first.
+    """
+    need, width = reach(template)
+    masks: dict[str, int] = {}
+    for i, x in enumerate(template):
+        masks[x] = masks.get(x, 0) | 1 << i
+    at = [(j, masks[x]) for j, x in enumerate(text) if x in masks]
+    full, m = (1 << len(template)) - 1, len(template)
+    steps: list[tuple[int, list[tuple[int, int]]]] = []  # by first word: (end, matched) wherever matched grows
+    for k, (a, _) in enumerate(at):
+        if k + need > len(at) or at[k + need - 1][0] >= a + width:
+            continue
+        v, top, own = full, need - 1, []  # a zero bit of v for each matched word (bit-parallel LCS)
+        for j, mask in at[k : k + width]:
+            if j >= a + width:
+                break
+            u = v & mask
+            v = ((v + u) | (v - u)) & full
+            n = m - v.bit_count()
+            if n > top:
+                top = n
+                own.append((j + 1, n))
+        if own:
+            steps.append((a, own))
+    least: list[tuple[int, int]] = []
+    for k, (a, own) in enumerate(steps):
+        end = own[0][0]  # never falls with a
+        if (not least or a >= least[-1][1]) and (k + 1 == len(steps) or steps[k + 1][1][0][0] > end):
+            least.append((a, end))
+    out: list[tuple[int, int, int]] = []
+    k = 0
+    for i in range(len(least)):
+        low, high = out[-1][2] if out else 0, least[i + 1][0] if i + 1 < len(least) else len(text)
+        best = None
+        while k < len(steps) and steps[k][0] < high:
+            a, own = steps[k]
+            k += 1
+            for end, n in own:
+                if a >= low and end <= high and (best is None or (n, a - end) > (best[0], best[1] - best[2])):
+                    best = (n, a, end)
+        out.append(best)
+    return out
 
 
 class Scanner:
@@ -120,16 +177,16 @@ class Scanner:
         found = set()
         for name, at in hits.items():
             template = self.words[name]
-            at.sort()
-            last = None
-            for shift, _ in at:
-                if last is not None and shift - last <= BAND:
-                    continue  # the band around the last diagonal has it
-                last = shift
+            stretches: list[list[int]] = []
+            for shift in sorted({shift for shift, _ in at}):
                 lo, hi = max(0, shift - BAND), min(len(words), shift + len(template) + BAND)
-                n, a, b = align(template, words[lo:hi], shift - lo)
-                if n >= COVERAGE * len(template):
-                    found.add((name, n / len(template), lo + a, lo + b + 1))
+                if stretches and lo <= stretches[-1][1]:
+                    stretches[-1][1] = hi
+                else:
+                    stretches.append([lo, hi])
+            for lo, hi in stretches:
+                for n, a, b in occurrences(template, words[lo:hi]):
+                    found.add((name, n / len(template), lo + a, lo + b))
         if not found:
             return []
         if len(low) != len(text):  # lower case may change lengths; spans are of the text itself

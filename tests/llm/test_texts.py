@@ -143,3 +143,37 @@ def test_winnowing_covers_each_window(rng):
         h = np.array([rng.randrange(20) for _ in range(rng.randint(1, 30))], np.uint64)
         places = licenses.winnow(h, 4)
         assert all(any(i <= p < i + 4 for p in places) for i in range(len(h) - 3))
+
+
+def brute_occurrences(template, text):
+    """(matched, first, end), from all spans by plain LCS: as many as fit by the earliest end, each the best of its place."""
+    need, width = licenses.reach(template)
+    spans = [(a, b, brute_matches(template, text[a:b])) for a in range(len(text)) for b in range(a + 1, min(len(text), a + width) + 1)]
+    spans = [x for x in spans if x[2] >= need]
+    least, end = [], 0
+    while fit := [x for x in spans if x[0] >= end]:
+        end = min(x[1] for x in fit)
+        least.append(max(x[0] for x in fit if x[1] == end))
+    out, low = [], 0
+    for high in [*least[1:], len(text)] if least else []:
+        n, _, a, b = max((n, a - b, -a, b) for a, b, n in spans if a >= low and b <= high)
+        out.append((n, -a, b))
+        low = b
+    return out
+
+
+def test_license_repeats_close_to_each_other(rng):
+    spans = lambda text, s=licenses.Scanner(licenses.TEMPLATES): [(name, a, b) for name, _, a, b, _, _ in s.scan(text)]
+    assert spans("All rights reserved. B All rights reserved.") == [("all-rights-reserved", 0, 3), ("all-rights-reserved", 4, 7)]
+    for gap in range(8):
+        text = (" x" * gap).join([" All rights reserved."] * 4)
+        assert spans(text) == [("all-rights-reserved", k, k + 3) for k in range(0, 4 * (3 + gap), 3 + gap)]
+        text = (" x" * gap).join([" Released under the MIT License."] * 4)
+        assert spans(text) == [("mit-notice", k, k + 5) for k in range(0, 4 * (5 + gap), 5 + gap)]
+    assert licenses.align(list("abc"), list("abcxabc"), 0, band=8) == (3, 4, 6)
+    for _ in range(150):
+        template = rng.choices("abcdefgh", k=rng.randint(3, 9))
+        text = []
+        for _ in range(rng.randint(1, 4)):
+            text += [rng.choice("abcdefghxyz") if rng.random() < 0.1 else c for c in template if rng.random() > 0.05] + rng.choices("abxyz", k=rng.randint(0, 6))
+        assert licenses.occurrences(template, text) == brute_occurrences(template, text)
