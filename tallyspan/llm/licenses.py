@@ -1,16 +1,18 @@
-"""License scans: winnowed fingerprints of templates pick candidates, alignments of their stretches confirm them.
-
-Templates and documents are sequences of words. Of the hashes of a template's shingles of five words the least in
-each window is kept in an inverted index. Every shingle of a document is looked up there; the stretches of
-the document around the hits of one template are aligned with it, and each may hold several matches.
-Reported are matched coverage of the template and the span in the document.
+"""License scans: rare words of templates pick candidates, alignments of their stretches confirm them.
+
+Templates and documents are sequences of words. A match of coverage 0.8 can lack a fifth of the words of its
+template only, so it holds at least one of its rarest fifth and one word; these are kept in an inverted index. Every
+word of a document is looked up there. The stretches of the document with one of them, and with enough words of the
+template for a match, are aligned with it; each may hold several matches. Templates under five words have to match
+whole, so they are looked up by the hash of all their words. Reported are matched coverage of the template and the
+span in the document.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -146,44 +148,85 @@ def occurrences(template: list[str], text: list[str]) -> list[tuple[int, int, in
     return out
 
 
+def _stretch(stretches: list[list[int]], low: int, high: int) -> None:
+    """Adds a stretch that doesn't start before the last one, or lengthens that."""
+    if stretches and low < stretches[-1][1]:
+        stretches[-1][1] = high
+    else:
+        stretches.append([low, high])
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.ids = _Ids()
         self.words = {name: WORD.findall(t.lower()) for name, t in templates.items()}
         self.index: dict[int, dict[int, list[tuple[str, int]]]] = defaultdict(dict)  # by shingle size, by hash
+        common = Counter(x for w in self.words.values() for x in set(w))
+        vocabulary = {x for w in self.words.values() if len(w) >= SHINGLE for x in w}
+        self.vocabulary = np.unique(self.hashes(list(vocabulary)))
+        self.anchors: dict[int, list[str]] = defaultdict(list)  # templates by place in the vocabulary
+        self.members: dict[str, np.ndarray] = {}
         for name, w in self.words.items():
-            k = min(SHINGLE, len(w))
-            if not k:
+            if not w:
+                continue
+            if len(w) < SHINGLE:
+                h = _shingles(self.hashes(w), len(w))
+                for i in winnow(h):
+                    self.index[len(w)].setdefault(int(h[i]), []).append((name, i))
                 continue
-            h = _shingles(self.hashes(w), k)
-            for i in winnow(h):
-                self.index[k].setdefault(int(h[i]), []).append((name, i))
+            # A match lacks len(w) - need words at most, so it holds one of any more of them.
+            rare = sorted(w, key=lambda x: (common[x], -len(x), x))[: len(w) - reach(w)[0] + 1]
+            for c in np.unique(np.searchsorted(self.vocabulary, self.hashes(rare))).tolist():
+                self.anchors[c].append(name)
+            self.members[name] = np.isin(self.vocabulary, self.hashes(w))
         self.known = {k: np.array(sorted(x), np.uint64) for k, x in self.index.items()}
+        self.anchored = np.zeros(len(self.vocabulary), bool)
+        self.anchored[list(self.anchors)] = True
 
     def hashes(self, words: list[str]) -> np.ndarray:
         return np.fromiter((self.ids[x] for x in words), np.uint64, len(words))
 
+    def candidates(self, w: np.ndarray) -> dict[str, list[list[int]]]:
+        """Stretches by template that hold all of its matches: rows of ``w`` with enough words of it, and a rare one."""
+        out: dict[str, list[list[int]]] = defaultdict(list)
+        for k, known in self.known.items():
+            h = _shingles(w, k)
+            for j in np.nonzero(np.isin(h, known))[0].tolist():
+                for name, i in self.index[k][int(h[j])]:
+                    _stretch(out[name], j - i, j - i + k)
+        if not len(self.vocabulary):
+            return out
+        code = np.minimum(np.searchsorted(self.vocabulary, w), len(self.vocabulary) - 1)
+        at = np.nonzero(self.vocabulary[code] == w)[0]
+        code = code[at]
+        rare = self.anchored[code]
+        places: dict[str, list[int]] = defaultdict(list)
+        for j, c in zip(at[rare].tolist(), code[rare].tolist(), strict=True):
+            for name in self.anchors[c]:
+                places[name].append(j)
+        for name, held in places.items():
+            need, width = reach(self.words[name])
+            own = at[self.members[name][code]]
+            if len(own) < need:
+                continue
+            first = own[: len(own) - need + 1]
+            first = first[own[need - 1 :] < first + width]
+            # Of those only the ones with a rare word in reach.
+            held = np.array(held)
+            k = np.searchsorted(held, first)
+            first = first[(k < len(held)) & (held[np.minimum(k, len(held) - 1)] < first + width)]
+            for j in first.tolist():
+                _stretch(out[name], j, min(len(w), j + width))
+        return out
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int, int]]:
         """(license, coverage, first word, end word, first character, end character), in order of place and name."""
         low = (text or "").lower()
         words = WORD.findall(low)
         w = self.hashes(words)
-        hits: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for k, known in self.known.items():
-            h = _shingles(w, k)
-            for j in np.nonzero(np.isin(h, known))[0].tolist():
-                for name, i in self.index[k][int(h[j])]:
-                    hits[name].append((j - i, j))
         found = set()
-        for name, at in hits.items():
+        for name, stretches in self.candidates(w).items():
             template = self.words[name]
-            stretches: list[list[int]] = []
-            for shift in sorted({shift for shift, _ in at}):
-                lo, hi = max(0, shift - BAND), min(len(words), shift + len(template) + BAND)
-                if stretches and lo <= stretches[-1][1]:
-                    stretches[-1][1] = hi
-                else:
-                    stretches.append([lo, hi])
             for lo, hi in stretches:
                 for n, a, b in occurrences(template, words[lo:hi]):
                     found.add((name, n / len(template), lo + a, lo + b))
@@ -201,7 +244,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, doc: str = "d
     """(doc_id, license, coverage, start_word, end_word, start_char, end_char), a row for each match.
 
     Ends are exclusive. Null and empty texts match nothing; repeated rows repeat their matches; several
-    templates may match one place. Matches hold a whole winnowed shingle; templates under five words match whole.
+    templates may match one place. A match holds 0.8 of a template's words in order and spans at most 16 words more than
+    the template has, wherever the edits are; templates under five words match whole.
     """
     chosen = TEMPLATES if templates is None else templates
     kind = dict(docs.select(doc).dtypes)[doc]

@@ -177,3 +177,22 @@ def test_license_repeats_close_to_each_other(rng):
         for _ in range(rng.randint(1, 4)):
             text += [rng.choice("abcdefghxyz") if rng.random() < 0.1 else c for c in template if rng.random() > 0.05] + rng.choices("abxyz", k=rng.randint(0, 6))
         assert licenses.occurrences(template, text) == brute_occurrences(template, text)
+
+
+def test_license_recall_on_edited_notices(rng):
+    s = licenses.Scanner(licenses.TEMPLATES)
+    spans = lambda text: [(name, a, b) for name, _, a, b, _, _ in s.scan(text)]
+    assert ("apache-2.0-notice", 0, 6) in spans("Licensed under Apache License, Version 2.0")
+    assert ("mit-notice", 1, 5) in spans("is Released under the MIT")
+    for _ in range(150):
+        text = rng.choices("the of license under this work version mit x y z".split(), k=rng.randint(0, 30))
+        for w in rng.choices([w for w in s.words.values() if len(w) >= 5], k=2):
+            edited = list(w)
+            for k in rng.sample(range(len(w)), rng.randint(0, len(w) // 4)):
+                edited[k] = rng.choice(["", "changed", "inserted " + w[k]])
+            text += " ".join(edited).split() + rng.choices("the of license x y z".split(), k=rng.randint(0, 12))
+        found = s.scan(" ".join(text))
+        for name, w in s.words.items():
+            full = licenses.occurrences(w, text)  # over the whole text, without candidates
+            assert [(round(c * len(w)), a, b) for n, c, a, b, _, _ in found if n == name] == full
+            assert all(brute_matches(w, text[a:b]) == n for n, a, b in full)
