@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
+from itertools import islice
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, Window
@@ -61,12 +62,16 @@ class Cron:
             out.update(range(a, b + 1, int(step or 1)))
         return out
 
-    def after(self, moment: int, zone: str = "UTC") -> Iterator[int]:
-        """Unix seconds of the occurrences strictly after ``moment``; wall times that a zone skips don't occur."""
+    def after(self, moment: int, zone: str = "UTC", until: int | None = None) -> Iterator[int]:
+        """Unix seconds of the occurrences strictly after ``moment``; wall times that a zone skips don't occur.
+
+        They end with ``until``, or after 101 years if it is None.
+        """
         seconds, minutes, hours, days, months, weekdays = self.sets
         tz = ZoneInfo(zone)
         day = datetime.fromtimestamp(moment, tz).date()
-        for _ in range(366 * 101):
+        days_on = 366 * 101 if until is None else (datetime.fromtimestamp(until, tz).date() - day).days + 1
+        for _ in range(days_on):
             if day.month in months and day.day in days and day.isoweekday() % 7 + 1 in weekdays:
                 found = set()
                 for h in sorted(hours):
@@ -77,23 +82,20 @@ class Cron:
                                 back = t.astimezone(UTC).astimezone(tz)
                                 if (back.hour, back.minute, back.second, back.date()) == (h, m, s, day):
                                     found.add(int(t.timestamp()))
-                yield from (x for x in sorted(found) if x > moment)
+                yield from (x for x in sorted(found) if x > moment and (until is None or x <= until))
             day += timedelta(days=1)
 
 
-def occurrences(defs: DataFrame, until: int, limit: int = 1000) -> DataFrame:
-    """(schedule_id, occurrence) for rows (schedule_id, cron, tz, after): the first ``limit`` up to ``until``."""
+def occurrences(defs: DataFrame, until: int, limit: int | None = None, chunk: int = 10_000) -> DataFrame:
+    """(schedule_id, occurrence) for rows (schedule_id, cron, tz, after): all up to ``until``, or the first ``limit`` of them."""
 
     def run(frames):
         import pandas as pd
 
         for pdf in frames:
-            rows = []
             for r in pdf.itertuples():
-                for n, t in enumerate(Cron(r.cron).after(int(r.after), r.tz or "UTC")):
-                    if t > until or n >= limit:
-                        break
-                    rows.append((r.schedule_id, t))
-            yield pd.DataFrame(rows, columns=["schedule_id", "occurrence"])
+                found = islice(Cron(r.cron).after(int(r.after), r.tz or "UTC", until), limit)
+                while rows := list(islice(found, chunk)):
+                    yield pd.DataFrame({"schedule_id": r.schedule_id, "occurrence": rows})
 
     return defs.select("schedule_id", "cron", "tz", "after").mapInPandas(run, "schedule_id string, occurrence long")

@@ -1,6 +1,8 @@
 """Operators on small literal tables, and against sequential models of their rules."""
 
 import random
+from datetime import datetime
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
@@ -261,3 +263,22 @@ def test_lease_stream(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, "reserve", 0, 10), ("a", 2, "reserve", 5, 10), ("a", 3, "reserve", 10, 10), ("a", 4, "extend", 12, 10), ("a", 5, "ack", 22, 0), ("a", 6, "reserve", 22, 5), ("a", 7, "ack", 23, 0), ("a", 8, "reserve", 40, 1)], "id string, ord long, op string, t long, lease long")
     got = _stream(spark, tmp_path, rows, lifecycle.lease_stream, "leases")
     assert [x[1] for x in ids(got, "ord", "outcome")] == ["reserved", "held", "redelivered", "extended", "stale", "redelivered", "acked", "gone"]
+
+
+def test_cron_query_returns_the_whole_range(spark):
+    from tallyspan.plans import catalog
+
+    start, until, minute = 1704067200, 1735689600, 60
+    rules = {
+        "noon": ("UTC", 1704067200, lambda t: (t.hour, t.minute) == (12, 0)),
+        "spring": ("America/New_York", 1709942400, lambda t: (t.hour, t.minute) == (2, 30)),
+        "autumn": ("America/New_York", 1730505600, lambda t: (t.hour, t.minute) == (1, 30)),
+        "work": ("Europe/Berlin", 1704067200, lambda t: t.minute % 15 == 0 and 9 <= t.hour <= 17 and t.isoweekday() <= 5),
+    }
+    moments = range(start, until + 1, minute)
+    want = sorted((name, x) for name, (tz, after, rule) in rules.items() for z in [ZoneInfo(tz)] for x in moments if x > after and rule(datetime.fromtimestamp(x, z)))
+    got = catalog.q45_cron(spark, "")
+    assert sorted(map(tuple, got.collect())) == want and sum(name == "work" for name, _ in want) == 9432
+    defs = spark.createDataFrame([("a", "0 0 0 1 1 *", "UTC", -6000000000), ("b", "0 0 0 30 2 *", None, 0)], "schedule_id string, cron string, tz string, after long")
+    assert schedule.occurrences(defs, until).count() == 2025 - 1780 + 1  # over more than 101 years
+    assert schedule.occurrences(defs, until, limit=7, chunk=3).count() == 7
