@@ -408,3 +408,40 @@ def q46_breaker_states(spark, sf_dir):
 @query(f"""with {JE} select id, cast(least(seq + 9223372036854770000, 9223372036854775807) as bigint) leased_until from (select id, cast(seq as hugeint) seq from je)""")
 def q47_lease_saturation(spark, sf_dir):
     return je(spark, sf_dir).select("id", saturating_add(F.col("seq"), F.lit(9223372036854770000)).alias("leased_until"))
+
+
+# q03, q05 and q18 take parts of the events, which their SQL fixes; the next three do the same over every event.
+
+
+@query(f"""with {JE}, live as (select id from je where seq % {CUT} <> 0), new as (select id, ord from je union all select id, case when seq % 2 = 0 then -ord - 1 else ord + 1000000000000 end from je)
+select id, min(ord) ord from new where not exists (select 1 from live where live.id = new.id) group by id""")
+def q48_id_idempotency_whole(spark, sf_dir):
+    """Every event is submitted twice, in both orders; those that are live already are replays."""
+    j = je(spark, sf_dir)
+    again = F.when(F.col("seq") % 2 == 0, -F.col("ord") - 1).otherwise(F.col("ord") + F.lit(1000000000000))
+    new = j.select("id", "ord").unionAll(j.select("id", again.alias("ord")))
+    return enq.first_by_id(j.where(F.col("seq") % CUT != 0).select("id"), new).select("id", "ord")
+
+
+@query(f"""with {JE}, held as (select unique_key k, max(id) holder from je where cast(unique_key as bigint) % 2 = 0 group by unique_key),
+new as (select *, case when seq % 9 = 0 then null else unique_key end k from je where not exists (select 1 from held where held.holder = je.id))
+select new.id, coalesce(holder, case when new.k is null then new.id else first_value(new.id) over (partition by new.k order by new.ord) end) returned from new left join held on held.k = new.k""")
+def q49_batch_keys_whole(spark, sf_dir):
+    """An event of each even key holds it; all others are the batch."""
+    j = je(spark, sf_dir)
+    held = j.where(F.col("unique_key").cast("long") % 2 == 0).groupBy("unique_key").agg(F.max("id").alias("id"))
+    new = j.join(held.select("id"), "id", "left_anti").select("id", "ord", F.when(F.col("seq") % 9 != 0, F.col("unique_key")).alias("unique_key"))
+    return enq.resolve_keys(held, new).select("id", "returned")
+
+
+@query(f"""with {JE}, d as (select id, unique_key k from je where {DEAD}), live as (select id, case when seq % 20 = 0 and cast(unique_key as bigint) % 2 = 0 then unique_key end k from je where not ({DEAD}) or seq % 33 = 0),
+held as (select distinct k from live where k is not null), r as (select id from je union all select 'x' || id from je)
+select r.id, case when d.id is null then 'not_found' when live.id is not null then 'live_conflict' when held.k is not null then 'key_held' else 'ok' end outcome
+from r left join d on d.id = r.id left join live on live.id = r.id left join held on held.k = d.k""")
+def q50_requeue_whole(spark, sf_dir):
+    """Every id is asked for, and as many that don't exist; all that aren't dead are live."""
+    j = je(spark, sf_dir)
+    key = F.when((F.col("seq") % 20 == 0) & (F.col("unique_key").cast("long") % 2 == 0), F.col("unique_key"))
+    live = j.where(f"not ({DEAD}) or seq % 33 = 0").select("id", key.alias("unique_key"))
+    asked = j.select("id").unionAll(j.select(F.concat(F.lit("x"), F.col("id")).alias("id")))
+    return res.requeue_outcomes(j.where(DEAD), live, asked)
