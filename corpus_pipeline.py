@@ -29,10 +29,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest id. Rows with a null id stay."""
-    groups = simhash.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__other")).distinct()
-    gone = materialise(groups, "near-copies")
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__other"], "left_anti")
+    """One row of each group of near copies: the smallest id, and of texts that share it the smallest hash. Rows with a null id stay."""
+    same = F.xxhash64("text")
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", same.alias("hash")))
+    groups = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text")).where("doc_id is not null")
+    rows = groups.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id <> component_id or n > 1")
+    rows = rows.select(F.col("doc_id.doc_id").alias("__other"), F.col("doc_id.hash").alias("__hash"), (F.col("doc_id") == F.col("component_id")).alias("__first"))
+    gone = materialise(rows, "near-copies")
+    at = lambda x: (docs["doc_id"] == x["__other"]) & (same == x["__hash"])
+    left = docs.join(gone.hint("shuffle_hash"), at(gone), "left_anti")
+    repeated = gone.where("__first")
+    if repeated.isEmpty():
+        return left
+    # Rows of one id and text differ in other columns at most; the least of them stays.
+    once = docs.join(repeated, at(repeated), "left_semi").groupBy("doc_id", same.alias("__hash")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return left.unionByName(once.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

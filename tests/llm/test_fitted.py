@@ -176,3 +176,14 @@ def test_pipeline_on_empty_documents(spark, docs):
     for name in ("line_dedup", "near_dedup", "tokens"):
         assert dict(corpus_pipeline.STAGES)[name](spark, empty, "").count() == 0
     assert bpe.read_ranks.cache_info() is not None
+
+
+def test_near_dedup_of_repeated_ids(docs, spark):
+    a, b, c = "one two three four five six seven", "quite another text of other words here", "and a third that has nothing to do with them"
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, b), (4, c), (4, c), (4, c), (5, a), (None, a), (None, a)]
+    extra = [(*r, "en", "s", len(r[1])) for r in rows]
+    left = corpus_pipeline.near_dedup(spark, docs(extra, ", lang string, source string, n_chars long"), "")
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted([("1", a), ("2", b), ("4", c), ("None", a), ("None", a)])
+    near = [(7, "Same Words But Not The Same Text"), (7, "same words but not the same text"), (8, "same words but not the same text")]
+    left = corpus_pipeline.near_dedup(spark, docs([(*r, "en", "s", 1) for r in near], ", lang string, source string, n_chars long"), "").collect()
+    assert len(left) == 1 and left[0].doc_id == 7
