@@ -11,7 +11,7 @@ from tallyspan.schema import MAX_LANE_BYTES, MAX_TRACE_BYTES, MAX_TRACE_ENTRIES
 
 SAFE_IDENT = r"^[A-Za-z_][A-Za-z0-9_]{0,62}$"
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-#: Query parameters whose values are hidden, and trace headers that are passed on.
+#: Query parameters whose values are hidden, trace headers that are passed on, first bytes of a stored reference.
 SECRETS = ("password", "sslpassword", "passwd", "signature", "x-amz-credential", "x-amz-security-token", "awsaccesskeyid", "sig")
 PROPAGATED = ("traceparent", "tracestate", "baggage")
 CLAIM_PREFIX = b"\x00WLCC\x01"
@@ -57,12 +57,11 @@ def truncate_chars(text: Column, n: int = 60) -> Column:
 
 def truncate_bytes(text: Column, n: int = 512) -> Column:
     """Texts over ``n`` UTF-8 bytes end before the character that crosses them, with three dots."""
-
-    @F.pandas_udf("string")
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else x if len(b := x.encode()) <= n else b[:n].decode(errors="ignore") + "...")
-
-    return cut(text)
+    data = F.encode(text, "UTF-8")
+    # A character has four bytes at most, so one of these cuts falls between two.
+    starts = [F.substring(data, 1, k) for k in range(n, max(n - 4, -1), -1)]
+    whole = F.coalesce(*[F.when(F.is_valid_utf8(x.cast("string")), F.decode(x, "UTF-8")) for x in starts])
+    return F.when(F.octet_length(text) > n, F.concat(whole, F.lit("..."))).otherwise(text)
 
 
 def backoff_ns(attempts: Column, base_ns: int, factor: int, cap_ns: int) -> Column:
@@ -80,12 +79,15 @@ def idle_wait_ns(empties: Column, poll_ns: int, cap_ns: int) -> Column:
 
 
 def jittered_ns(delay_ns: Column, attempts: Column, seed: Column, jitter: float, cap_ns: int) -> Column:
-    """delay * (1 - jitter * u) with u in [0, 1) mixed from (seed, attempts); no jitter unless finite and positive."""
+    """delay * (1 - jitter * u) with u in [0, 1) mixed from (seed, attempts); no jitter unless finite and positive.
+
+    Null where an argument is null.
+    """
+    if not (np.isfinite(jitter) and jitter > 0):
+        return F.when(attempts.isNotNull() & seed.isNotNull(), delay_ns.cast("long"))
 
     @F.pandas_udf("long")
     def mix(d: pd.Series, a: pd.Series, s: pd.Series) -> pd.Series:
-        if not (np.isfinite(jitter) and jitter > 0):
-            return d
         # The SplitMix64 constants.
         z = s.to_numpy(np.int64).view(np.uint64) ^ (a.to_numpy(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -93,11 +95,15 @@ def jittered_ns(delay_ns: Column, attempts: Column, seed: Column, jitter: float,
         u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
         return pd.Series(np.minimum((d.to_numpy(float) * (1.0 - min(jitter, 1.0) * u)).astype(np.int64), cap_ns))
 
-    return mix(delay_ns.cast("long"), attempts.cast("long"), seed.cast("long"))
+    known = delay_ns.isNotNull() & attempts.isNotNull() & seed.isNotNull()
+    zero = [F.coalesce(c.cast("long"), F.lit(0).cast("long")) for c in (delay_ns, attempts, seed)]
+    return F.when(known, mix(*zero))
 
 
 def heartbeat_ns(lease_ns: Column) -> Column:
-    return F.greatest(F.floor(lease_ns / 3), F.lit(50_000_000)).cast("long")
+    """A third of the lease, rounded down, and 50 ms at least; null for null."""
+    third = F.call_function("div", lease_ns.cast("long"), F.lit(3).cast("long"))
+    return F.when(third.isNotNull(), F.greatest(third, F.lit(50_000_000).cast("long")))
 
 
 def claim_key(payload: Column) -> Column:
@@ -106,6 +112,18 @@ def claim_key(payload: Column) -> Column:
     return F.when((F.substring(payload, 1, 6) == F.lit(CLAIM_PREFIX)) & F.is_valid_utf8(body), body)
 
 
+def claim_reference(key: Column) -> Column:
+    """The payload that stands for the blob ``key``."""
+    return F.concat(F.lit(CLAIM_PREFIX), F.encode(key, "UTF-8"))
+
+
+def inject(context: Column, current: Column) -> Column:
+    """A trace context with the entries of ``current``, which replace its own; unchanged where these are null or empty."""
+    own = F.coalesce(context, F.create_map().cast("map<string,string>"))
+    merged = F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(current, k)), current)
+    return F.when(F.coalesce(F.cardinality(current), F.lit(0)) > 0, merged).otherwise(context)
+
+
 def propagated(context: Column) -> Column:
     return F.map_filter(context, lambda k, _: k.isin(*PROPAGATED))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspan.schema import OFFLOAD_BYTES, saturating_add
+from tallyspan.functions.scalars import claim_key, claim_reference
+from tallyspan.operators.ordered import Ordered
+from tallyspan.schema import DEFAULT_LANE, DEFAULT_MAX_ATTEMPTS, OFFLOAD_BYTES, saturating_add
 
 
 def available_at(now: Column, delay_ns: Column) -> Column:
@@ -13,21 +15,10 @@ def available_at(now: Column, delay_ns: Column) -> Column:
 
 
 def append(jobs: DataFrame, new: DataFrame, order: str = "ord") -> DataFrame:
-    """``new`` with sequence numbers after the last of ``jobs``, in input order.
-
-    Numbers are given within ranges of the order and shifted by the sums of earlier ranges, so no task sees all rows.
-    """
-    n = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = new.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id())
-    local = dealt.withColumn("__rn", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    sizes = local.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row for each partition
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    last = jobs.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("__last"))
-    return (
-        local.join(F.broadcast(before.select("__part", "__before")), "__part").join(F.broadcast(last))  # one row
-        .withColumn("seq", (F.col("__last") + F.col("__before") + F.col("__rn")).cast("long"))
-        .drop("__part", "__rn", "__before", "__last")
-    )
+    """``new`` with sequence numbers after the last of ``jobs``, in input order; no task sees all rows."""
+    numbered = Ordered(new, [], [order]).running("__n", "count", F.lit(1)).result
+    last = jobs.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("__last"))  # one row
+    return numbered.join(F.broadcast(last)).withColumn("seq", (F.col("__last") + F.col("__n")).cast("long")).drop("__n", "__last")
 
 
 def first_by_id(jobs: DataFrame, new: DataFrame) -> DataFrame:
@@ -44,8 +35,10 @@ def resolve_keys(jobs: DataFrame, new: DataFrame) -> DataFrame:
     """
     holders = jobs.where("unique_key is not null").select(F.col("unique_key").alias("held"), F.col("id").alias("holder"))
     keyed = new.where("unique_key is not null")
-    first = F.min_by("id", "ord").over(Window.partitionBy("unique_key"))
-    got = keyed.join(holders, keyed.unique_key == holders.held, "left").withColumn("returned", F.coalesce("holder", first)).drop("held", "holder")
+    # Partial aggregates and a join, which Spark can split where a key is hot; a window could not be.
+    first = keyed.groupBy(F.col("unique_key").alias("taken")).agg(F.min_by("id", "ord").alias("first"))
+    known = first.join(holders, first.taken == holders.held, "left").select("taken", F.coalesce("holder", "first").alias("returned"))
+    got = keyed.join(known, keyed.unique_key == known.taken).drop("taken")
     return got.unionByName(new.where("unique_key is null").withColumn("returned", F.col("id"))).withColumn("stored", F.col("returned") == F.col("id"))
 
 
@@ -77,6 +70,35 @@ def admit_batches(new: DataFrame, allowed: DataFrame, batch: str = "batch") -> D
     return new.join(bad, batch, "left_anti")
 
 
+def prepare(new: DataFrame, now: Column, lane: str = DEFAULT_LANE, max_attempts: int = DEFAULT_MAX_ATTEMPTS, priority: int = 0) -> DataFrame:
+    """``new`` with a submitter's options: lane, attempts and priority where a row sets none, due after its ``delay_ns``."""
+    fill = {"lane": F.lit(lane), "max_attempts": F.lit(max_attempts).cast("long"), "priority": F.lit(priority), "delay_ns": F.lit(0).cast("long")}
+    cols = {k: F.coalesce(F.col(k), v) if k in new.columns else v for k, v in fill.items()}
+    delay = cols.pop("delay_ns")
+    fresh = {"attempts": F.lit(0).cast("long"), "deliveries": F.lit(0).cast("long"), "available_at": available_at(now, delay)}
+    return new.select(*[c for c in new.columns if c not in cols and c not in fresh and c != "delay_ns"], *[v.alias(k) for k, v in (cols | fresh).items()])
+
+
+def offload(jobs: DataFrame, threshold: int = OFFLOAD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(jobs with large payloads replaced by references, blobs (key, blob)); a job's id is the key of its blob.
+
+    The blobs are to be written before the jobs.
+    """
+    large = offloaded(F.col("payload"), threshold)
+    blobs = jobs.where(large).select(F.col("id").alias("key"), F.col("payload").alias("blob"))
+    return jobs.withColumn("payload", F.when(large, claim_reference(F.col("id"))).otherwise(F.col("payload"))), blobs
+
+
+def fetch(jobs: DataFrame, blobs: DataFrame) -> DataFrame:
+    """``jobs`` with the payloads that handlers see, and error_class ``handler`` where a reference has no blob."""
+    held = blobs.select(F.col("key").alias("__key"), F.col("blob").alias("__blob"))
+    j = jobs.withColumn("__claim", claim_key(F.col("payload")))
+    plain = j.where("__claim is null").withColumn("error_class", F.lit(None).cast("string"))
+    found = j.where("__claim is not null").join(held, F.col("__claim") == F.col("__key"), "left")
+    found = found.withColumn("error_class", F.when(F.col("__blob").isNull(), "handler")).withColumn("payload", F.col("__blob")).drop("__key", "__blob")
+    return plain.unionByName(found).drop("__claim")
+
+
 def offloaded(payload: Column, threshold: int = OFFLOAD_BYTES) -> Column:
     """Whether a payload goes to the blob store: strictly over the threshold."""
     return F.octet_length(payload) > threshold

@@ -33,6 +33,16 @@ def list_dead(dead: DataFrame, n: int = 50) -> DataFrame:
     return dead.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
 
 
+def total(jobs: DataFrame) -> DataFrame:
+    """One row: live jobs of all lanes, and whether there are none."""
+    return jobs.agg(F.count(F.lit(1)).alias("live")).select("live", (F.col("live") == 0).alias("empty"))
+
+
+def dead_snapshot(dead: DataFrame) -> DataFrame:
+    """The dead letters of all lanes as they are listed, with their number for ordering."""
+    return dead.select("seq", "id", "kind", "lane", "attempts", "max_attempts", "error")
+
+
 def latest(results: DataFrame) -> DataFrame:
     """The last write of each job."""
     w = Window.partitionBy("job_id").orderBy(F.desc("write_seq"))

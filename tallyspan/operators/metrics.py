@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspan.operators.ordered import Ordered
+
 
 def outcomes(attempts: DataFrame) -> DataFrame:
     """jobs_total by lane, kind and outcome; stale and deferred resolutions are not events."""
@@ -21,37 +25,41 @@ def duration_buckets(attempts: DataFrame, bounds: list[float]) -> DataFrame:
 
 def in_flight(edges: DataFrame) -> DataFrame:
     """``edges`` (lane, kind, t, seq, delta) with the running gauge by lane and kind."""
-    w = Window.partitionBy("lane", "kind").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return edges.withColumn("in_flight", F.sum("delta").over(w).cast("long"))
+    return Ordered(edges, ["lane", "kind"], ["t", "seq"]).running("in_flight", "sum", F.col("delta").cast("long")).result
 
 
 def breaker_openings(attempts: DataFrame, threshold: int = 5) -> DataFrame:
     """Rows (kind, seq, ok) at which a run of failures reaches ``threshold``."""
-    w = Window.partitionBy("kind").orderBy("seq")
-    runs = attempts.withColumn("island", F.sum(F.col("ok").cast("int")).over(w)).where("not ok")
-    run = F.row_number().over(Window.partitionBy("kind", "island").orderBy("seq"))
-    return runs.withColumn("run", run.cast("long")).where(F.col("run") == threshold).drop("island")
+    a = Ordered(attempts, ["kind"], ["seq"]).running("island", "sum", F.col("ok").cast("long"))
+    a = a.running("run", "count", F.when(~F.col("ok"), 1), ["island"]).result
+    return a.where(~F.col("ok") & (F.col("run") == threshold)).drop("island")
 
 
 def breaker_states(attempts: DataFrame, threshold: int = 5, open_s: float = 30.0) -> DataFrame:
     """(kind, seq, decision): each attempt admitted, probing or rejected, by a state machine for each kind.
 
-    Sequential by nature: rows (kind, seq, t seconds, ok) of one kind go through one task in order.
+    Sequential by nature: rows (kind, seq, t seconds, ok) of one kind are sorted, which spills, and streamed through
+    one task; it holds one batch and the state (failures in a row, end of the opening).
     """
+    n = int(attempts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, fails, until = None, 0, None
+        for b in batches:
+            out = []
+            for kind, t, ok in zip(*(b.column(c).to_pylist() for c in ("kind", "t", "ok")), strict=True):
+                if kind != last:
+                    last, fails, until = kind, 0, None
+                if until is not None and t < until:
+                    out.append("rejected")
+                    continue
+                probe = until is not None
+                out.append("probing" if probe else "admitted")
+                fails = 0 if ok else fails + 1
+                until = t + open_s if not ok and (probe or fails >= threshold) else None
+                if until is not None:
+                    fails = 0
+            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("seq"), pa.array(out, pa.string())], names=["kind", "seq", "decision"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fails, until, out = 0, None, []
-        for r in pdf.sort_values("seq").itertuples():
-            if until is not None and r.t < until:
-                out.append("rejected")
-                continue
-            probe = until is not None
-            out.append("probing" if probe else "admitted")
-            fails = 0 if r.ok else fails + 1
-            until = r.t + open_s if not r.ok and (probe or fails >= threshold) else None
-            if until is not None:
-                fails = 0
-        s = pdf.sort_values("seq")
-        return pd.DataFrame({"kind": s["kind"], "seq": s["seq"], "decision": out})
-
-    return attempts.groupBy("kind").applyInPandas(run, "kind string, seq long, decision string")
+    rows = attempts.select("kind", "seq", "t", "ok").repartition(n, "kind").sortWithinPartitions("kind", "seq")
+    return rows.mapInArrow(run, "kind string, seq long, decision string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspan.operators.enqueue import append
 from tallyspan.schema import I64_MAX, saturating_add
 
 
@@ -58,6 +59,31 @@ def requeue_outcomes(dead: DataFrame, jobs: DataFrame, requests: DataFrame) -> D
     return j.select(*requests.columns, code.alias("outcome"))
 
 
+def requeue(dead: DataFrame, jobs: DataFrame, requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(live jobs, dead letters, ``requests`` (ord, id) with outcome) after requests in their order move dead jobs back.
+
+    A moved job keeps its attempts, is due ``now``, has no deliveries and a new number, and takes its key again. Of several
+    requests for one id the first moves it and the later ones don't find it; of several jobs with one key the first takes it.
+    """
+    asked = requests.groupBy("id").agg(F.min("ord").alias("__first"))
+    keys = dead.select("id", F.col("unique_key").alias("__key"))
+    judged = requeue_outcomes(dead, jobs, asked).join(keys, "id", "left")
+    free = judged.where("outcome = 'ok' and __key is not null").groupBy("__key").agg(F.min("__first").alias("__wins"))
+    judged = judged.join(free, "__key", "left")
+    judged = judged.withColumn("outcome", F.when((F.col("outcome") == "ok") & (F.col("__first") > F.col("__wins")), "key_held").otherwise(F.col("outcome")))
+    judged = judged.select("id", "__first", F.col("outcome").alias("__outcome"))
+    again = (F.col("__outcome") == "ok") & (F.col("ord") > F.col("__first"))
+    outcomes = requests.join(judged, "id").withColumn("outcome", F.when(again, "not_found").otherwise(F.col("__outcome"))).drop("__first", "__outcome")
+    moved = dead.join(judged.where("__outcome = 'ok'").select("id", F.col("__first").alias("ord")), "id")
+    fresh = {
+        "available_at": now, "deliveries": F.lit(0).cast("long"), "receipt": F.lit(None).cast("string"),
+        "leased_until": F.lit(None).cast(jobs.schema["leased_until"].dataType if "leased_until" in jobs.columns else "long"),
+    }
+    moved = append(jobs, moved.drop("seq"))
+    columns = [fresh[c].alias(c) if c in fresh else F.col(c) if c in moved.columns else F.lit(None).cast(jobs.schema[c].dataType).alias(c) for c in jobs.columns]
+    return jobs.unionByName(moved.select(*columns)), dead.join(judged.where("__outcome = 'ok'").select("id"), "id", "left_anti"), outcomes
+
+
 def purge(dead: DataFrame, lanes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(what is left, lane and count of what is removed)."""
     removed = dead.join(lanes.select("lane"), "lane", "left_semi").groupBy("lane").agg(F.count(F.lit(1)).alias("removed"))

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import UTC, datetime, timedelta
-from itertools import islice
+from datetime import UTC, date, datetime, timedelta
+from functools import lru_cache
+from itertools import islice, product
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyspan.operators.ordered import Ordered
 
 
 def claims(attempts: DataFrame) -> DataFrame:
@@ -18,13 +23,18 @@ def claims(attempts: DataFrame) -> DataFrame:
     claims nothing. The mark only rises, so it is the running maximum.
     """
     resets = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in attempts.columns else F.lit(False)
-    w = Window.partitionBy("schedule_id").orderBy("ord")
-    a = attempts.withColumn("__reset", resets).withColumn("__island", F.sum(F.col("__reset").cast("int")).over(w))
-    mark = F.max(F.when(~F.col("__reset"), F.col("occurrence"))).over(Window.partitionBy("schedule_id", "__island").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
-    a = a.withColumn("mark", mark)
+    a = Ordered(attempts.withColumn("__reset", resets), ["schedule_id"], ["ord"])
+    a = a.running("__island", "sum", F.col("__reset").cast("long"))
+    a = a.running("mark", "max", F.when(~F.col("__reset"), F.col("occurrence")), ["__island"], before=True).result
     return a.withColumn("claimed", ~F.col("__reset") & (F.col("mark").isNull() | (F.col("occurrence") > F.col("mark")))).drop("__reset", "__island")
 
 
+def non_decreasing(readings: DataFrame, clock: str = "now", order: str = "ord") -> DataFrame:
+    """``readings`` of a clock in their order, each at least as late as all before it."""
+    got = Ordered(readings, [], [order]).running("__now", "max", F.col(clock)).result
+    return got.withColumn(clock, F.col("__now")).drop("__now")
+
+
 def fixed_step(bounds: DataFrame, step_s: int) -> DataFrame:
     """(schedule_id, occurrence): each multiple of ``step_s`` seconds after ``after`` up to ``until``."""
     first = (F.floor(F.col("after") / step_s) + 1) * step_s
@@ -62,36 +72,104 @@ class Cron:
             out.update(range(a, b + 1, int(step or 1)))
         return out
 
-    def after(self, moment: int, zone: str = "UTC", until: int | None = None) -> Iterator[int]:
-        """Unix seconds of the occurrences strictly after ``moment``; wall times that a zone skips don't occur.
-
-        They end with ``until``, or after 101 years if it is None.
-        """
+    @lru_cache(maxsize=64)  # noqa: B019
+    def on(self, day: date, zone: str) -> tuple[int, ...]:
+        """Unix seconds of a day's occurrences. Of a wall time that a zone has twice the first counts; one that it skips doesn't occur."""
         seconds, minutes, hours, days, months, weekdays = self.sets
+        if day.month not in months or day.day not in days or day.isoweekday() % 7 + 1 not in weekdays:
+            return ()
+        tz, found = ZoneInfo(zone), []
+        for h, m, s in product(sorted(hours), sorted(minutes), sorted(seconds)):
+            t = datetime(day.year, day.month, day.day, h, m, s, tzinfo=tz)
+            back = t.astimezone(UTC).astimezone(tz)
+            if (back.hour, back.minute, back.second, back.date()) == (h, m, s, day):
+                found.append(int(t.timestamp()))
+        return tuple(sorted(found))
+
+    def after(self, moment: int, zone: str = "UTC", until: int | None = None) -> Iterator[int]:
+        """Unix seconds of the occurrences strictly after ``moment``, up to ``until``, or for 101 years if it is None."""
         tz = ZoneInfo(zone)
         day = datetime.fromtimestamp(moment, tz).date()
         days_on = 366 * 101 if until is None else (datetime.fromtimestamp(until, tz).date() - day).days + 1
         for _ in range(days_on):
-            if day.month in months and day.day in days and day.isoweekday() % 7 + 1 in weekdays:
-                found = set()
-                for h in sorted(hours):
-                    for m in sorted(minutes):
-                        for s in sorted(seconds):
-                            for fold in (0, 1):
-                                t = datetime(day.year, day.month, day.day, h, m, s, tzinfo=tz, fold=fold)
-                                back = t.astimezone(UTC).astimezone(tz)
-                                if (back.hour, back.minute, back.second, back.date()) == (h, m, s, day):
-                                    found.add(int(t.timestamp()))
-                yield from (x for x in sorted(found) if x > moment and (until is None or x <= until))
+            yield from (x for x in self.on(day, zone) if x > moment and (until is None or x <= until))
             day += timedelta(days=1)
 
 
+def check_definitions(defs: DataFrame) -> DataFrame:
+    """``defs`` (schedule_id, cron, tz) with an outcome: ok, duplicate_id or invalid_cron."""
+    repeated = defs.groupBy("schedule_id").agg((F.count(F.lit(1)) > 1).alias("__twice"))
+
+    @F.pandas_udf("boolean")
+    def readable(crons: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                Cron(text)
+            except (ValueError, AttributeError):
+                return False
+            return True
+
+        return crons.map(one).astype(bool)
+
+    j = defs.join(repeated, "schedule_id")
+    return j.withColumn("outcome", F.when(F.col("__twice"), "duplicate_id").when(~readable("cron"), "invalid_cron").otherwise("ok")).drop("__twice")
+
+
+def next_due(defs: DataFrame, after: str = "after", until: str | None = None) -> DataFrame:
+    """``defs`` with ``due``: the first occurrence strictly after the moment in column ``after``.
+
+    Null where there is none, or none up to the moment in column ``until``.
+    """
+    schema = T.StructType([*defs.schema.fields, T.StructField("due", T.LongType())])
+
+    def run(frames):
+        made: dict[str, Cron] = {}
+        for pdf in frames:
+            stops = pdf[until] if until else [None] * len(pdf)
+            due = []
+            for text, tz, a, z in zip(pdf["cron"], pdf["tz"], pdf[after], stops, strict=True):
+                cron = made.setdefault(text, Cron(text)) if text not in made else made[text]
+                due.append(next(cron.after(int(a), tz or "UTC", None if z is None else int(z)), None))
+            yield pdf.assign(due=pd.array(due, "Int64"))
+
+    return defs.mapInPandas(run, schema)
+
+
+def wake_up(cursors: DataFrame) -> DataFrame:
+    """One row: the earliest ``due`` of all schedules, null if there is none."""
+    return cursors.agg(F.min("due").alias("due"))
+
+
+def fire_due(cursors: DataFrame, marks: DataFrame, now: int, after: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """One round of the scheduler over (schedule_id, cron, tz, due): (fired, cursors after it).
+
+    Each schedule that is due fires its ``due`` alone; what else it missed is skipped, as its cursor goes past the time
+    ``after`` the round. A fire is claimed if it is later than the schedule's ``mark``. Its unique key is ``id:occurrence``.
+    """
+    due = cursors.where(F.col("due") <= now)
+    fired = due.join(marks.select("schedule_id", "mark"), "schedule_id", "left").select(
+        "schedule_id", F.col("due").alias("occurrence"), (F.col("mark").isNull() | (F.col("due") > F.col("mark"))).alias("claimed"),
+        F.concat_ws(":", "schedule_id", F.col("due").cast("string")).alias("unique_key"),
+    )
+    moved = next_due(due.drop("due").withColumn("__after", F.lit(now if after is None else after).cast("long")), "__after").drop("__after")
+    return fired, cursors.where(F.col("due").isNull() | (F.col("due") > now)).unionByName(moved)
+
+
+def fired_at(ticks: DataFrame) -> DataFrame:
+    """``ticks`` (schedule_id, cron, tz, t) of a running scheduler with the occurrence that each one fires, or null.
+
+    A tick fires the first occurrence after the one before it if that is due; the first tick only sets the cursor.
+    """
+    pairs = Ordered(ticks, ["schedule_id"], ["t"]).running("__before", "max", F.col("t"), before=True).result
+    known = next_due(pairs.where("__before is not null"), "__before", "t").withColumnRenamed("due", "occurrence")
+    first = pairs.where("__before is null").withColumn("occurrence", F.lit(None).cast("long"))
+    return known.unionByName(first).drop("__before")
+
+
 def occurrences(defs: DataFrame, until: int, limit: int | None = None, chunk: int = 10_000) -> DataFrame:
     """(schedule_id, occurrence) for rows (schedule_id, cron, tz, after): all up to ``until``, or the first ``limit`` of them."""
 
     def run(frames):
-        import pandas as pd
-
         for pdf in frames:
             for r in pdf.itertuples():
                 found = islice(Cron(r.cron).after(int(r.after), r.tz or "UTC", until), limit)

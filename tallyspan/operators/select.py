@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspan.operators.ordered import Ordered
 from tallyspan.schema import LEASE_NS, MAX_SWEEP, saturating_add
 
 
@@ -20,12 +21,18 @@ def in_order():
 
 
 def drain_order(jobs: DataFrame) -> DataFrame:
-    return jobs.withColumn("rank", F.row_number().over(in_order()).cast("long"))
+    """All jobs with their place in the lane; a lane of any size is spread over tasks."""
+    return Ordered(jobs, ["lane"], [F.desc("priority"), "available_at", "seq"]).running("rank", "count", F.lit(1)).result
+
+
+def first_in_order(jobs: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` jobs of each lane with their rank; Spark limits each group before it shuffles."""
+    return jobs.withColumn("rank", F.row_number().over(in_order()).cast("long")).where(F.col("rank") <= k)
 
 
 def reserve(jobs: DataFrame, now: Column, k: int = 1) -> DataFrame:
-    """The first ``k`` visible jobs of each lane with their rank; Spark limits each group before it shuffles."""
-    return drain_order(visible(jobs, now)).where(F.col("rank") <= k)
+    """The first ``k`` visible jobs of each lane with their rank."""
+    return first_in_order(visible(jobs, now), k)
 
 
 def lease(jobs: DataFrame, now: Column, k: int = 1, lease_ns: int = LEASE_NS) -> DataFrame:
@@ -49,10 +56,11 @@ def poison_sweep(jobs: DataFrame, now: Column, max_deliveries: int, cap: int = M
     In order, jobs already delivered ``max_deliveries`` times or more are dead-lettered up to the first one that is
     not, which is reserved; after ``cap`` of them nothing is reserved.
     """
-    ranked = drain_order(visible(jobs, now)).withColumn("over", F.col("deliveries") >= max_deliveries)
+    # At most ``cap`` jobs of a lane count, so no window sees more.
+    ranked = first_in_order(visible(jobs, now), cap).withColumn("over", F.col("deliveries") >= max_deliveries)
     healthy = F.sum(F.when(F.col("over"), 0).otherwise(1)).over(in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
         ranked.withColumn("healthy", healthy)
-        .withColumn("action", F.when((F.col("healthy") == 0) & (F.col("rank") <= cap), "dead").when((F.col("healthy") == 1) & ~F.col("over") & (F.col("rank") <= cap), "reserve"))
+        .withColumn("action", F.when(F.col("healthy") == 0, "dead").when((F.col("healthy") == 1) & ~F.col("over"), "reserve"))
         .where("action is not null").drop("over", "healthy")
     )

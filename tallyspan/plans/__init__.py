@@ -1 +1,3 @@
-"""Job-lifecycle analytics as DataFrame operators."""
+"""Registered queries: importing the package fills the catalog."""
+
+from tallyspan.plans import catalog, lifecycle  # noqa: F401

@@ -239,13 +239,13 @@ def q24_list_dead(spark, sf_dir):
 
 
 @query("""with s as (select l_orderkey fanin_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) slot, l_returnflag f, l_linestatus t, l_linenumber n from lineitem),
-g as (select fanin_id, count(*) members, count(*) filter (f <> 'R' and t <> 'O') captured, bool_or(f = 'R') dead from s group by fanin_id)
+g as (select fanin_id, count(*) members, count(*) filter (f <> 'R' and t <> 'O' and n <> 5) captured, bool_or(f = 'R' or (t <> 'O' and n = 5)) dead from s group by fanin_id)
 select fanin_id, members, captured, case when dead then 'impossible' when captured = members then 'ready' else 'pending' end decision from g""")
 def q25_fan_in(spark, sf_dir):
     x = load(spark, sf_dir, "lineitem")
     slot = F.expr("row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)")
     state = F.when(F.col("l_returnflag") == "R", "dead").when(F.col("l_linestatus") == "O", "live").otherwise("done")
-    s = x.select(F.col("l_orderkey").alias("fanin_id"), slot.alias("slot"), state.alias("state"), F.lit(True).alias("has_result"))
+    s = x.select(F.col("l_orderkey").alias("fanin_id"), slot.alias("slot"), state.alias("state"), (F.col("l_linenumber") != 5).alias("has_result"))
     return wf.adjudicate(s).select("fanin_id", "members", "captured", "decision")
 
 
@@ -270,10 +270,10 @@ def q28_lane_validation(spark, sf_dir):
     return d.unionAll(load(spark, sf_dir, "customer").select((-F.col("c_custkey")).alias("doc_id"), sc.lane_valid(F.col("c_name")).alias("valid")))
 
 
-@query("""select c_custkey, 'db://***@h/' || c_custkey || ' then http://h/path@v' || c_custkey || '?password=*** and SIG=***&x=1' redacted from customer where c_name not like '%''%'""")
+@query("""select c_custkey, 'db://***@h/' || c_custkey || ' then http://h/path@v' || c_custkey || '?password=*** and SIG=***&x=1' redacted from customer""")
 def q29_redaction(spark, sf_dir):
-    c = load(spark, sf_dir, "customer").where("c_name not like '%''%'")
-    key, name = F.col("c_custkey").cast("string"), F.regexp_replace("c_name", r"\s", "")
+    c = load(spark, sf_dir, "customer")
+    key, name = F.col("c_custkey").cast("string"), F.regexp_replace("c_name", r"[\s'\"]", "")
     text = F.concat(F.lit("db://user:"), name, F.lit("@h/"), key, F.lit(" then http://h/path@v"), key, F.lit("?password="), name, F.lit(" and SIG="), name, F.lit("&x=1"))
     return c.select("c_custkey", sc.redact(text).alias("redacted"))
 
@@ -381,25 +381,40 @@ def q42_breaker_openings(spark, sf_dir):
     return met.breaker_openings(a, 2).select("kind", "seq", "run")
 
 
-@query()
+_M64 = "18446744073709551616::uhugeint"
+
+
+@query(f"""with {JE}, a as (select id, xor(seq::uhugeint, (attempts::uhugeint * 11400714819323198485::uhugeint) % {_M64}) z, least(1000000000 * power(2, attempts), 60000000000) d from je),
+b as (select id, d, (xor(z, z // 1073741824::uhugeint) * 13787848793156543929::uhugeint) % {_M64} z from a), c as (select id, d, (xor(z, z // 134217728::uhugeint) * 10723151780598845931::uhugeint) % {_M64} z from b),
+u as (select id, d, cast(xor(z, z // 2147483648::uhugeint) // 2048::uhugeint as double) / 9007199254740992 u from c) select id, cast(least(trunc(d * (1.0 - 0.5 * u)), 60000000000) as bigint) delay_ns from u""")
 def q43_jitter(spark, sf_dir):
     j = je(spark, sf_dir)
     d = sc.backoff_ns(F.col("attempts"), 1_000_000_000, 2, 60_000_000_000)
     return j.select("id", sc.jittered_ns(d, F.col("attempts"), F.col("seq"), 0.5, 60_000_000_000).alias("delay_ns"))
 
 
-@query()
+@query("""with t as (select doc_id, text, list_max(list_filter(range(128, 513), lambda k: strlen(left(text, k)) <= 512)) k from documents)
+select doc_id, case when strlen(text) <= 512 then text else left(text, k) || '...' end shown from t""")
 def q44_truncate_bytes(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", sc.truncate_bytes(F.col("text")).alias("shown"))
 
 
-@query()
+@query("""with d as (select * from (values ('noon', 'UTC', 1704067200), ('spring', 'America/New_York', 1709942400), ('autumn', 'America/New_York', 1730505600), ('work', 'Europe/Berlin', 1704067200)) t(schedule_id, tz, a)),
+m as (select schedule_id, x, timezone(tz, to_timestamp(x)) w from d, unnest(range(a + 60, 1735689600 + 1, 60)) u(x)),
+k as (select * from m where case schedule_id when 'noon' then hour(w) = 12 and minute(w) = 0 when 'spring' then hour(w) = 2 and minute(w) = 30 when 'autumn' then hour(w) = 1 and minute(w) = 30
+ else minute(w) % 15 = 0 and hour(w) between 9 and 17 and isodow(w) <= 5 end)
+select schedule_id, min(x) occurrence from k group by schedule_id, w""")
 def q45_cron(spark, sf_dir):
     defs = [("noon", "0 0 12 * * *", "UTC", 1704067200), ("spring", "0 30 2 * * *", "America/New_York", 1709942400), ("autumn", "0 30 1 * * *", "America/New_York", 1730505600), ("work", "0 */15 9-17 * * MON-FRI", "Europe/Berlin", 1704067200)]
     return sch.occurrences(spark.createDataFrame(defs, "schedule_id string, cron string, tz string, after long"), 1735689600)
 
 
-@query()
+@query(f"""with recursive {JE}, a as (select kind, seq, cast(seq as double) t, value > 100 ok, row_number() over (partition by kind order by seq) n from je),
+s as (select kind, cast(0 as bigint) n, cast(null as bigint) seq, 0 fails, cast(null as double) ends, '' decision from (select distinct kind from a)
+ union all select kind, n, seq, case when rejected then fails when ok then 0 when probe or fails + 1 >= 3 then 0 else fails + 1 end, case when rejected then ends when not ok and (probe or fails + 1 >= 3) then t + 30.0 end,
+ case when rejected then 'rejected' when probe then 'probing' else 'admitted' end
+ from (select a.*, s.fails, s.ends, coalesce(a.t < s.ends, false) rejected, s.ends is not null probe from s join a on a.kind = s.kind and a.n = s.n + 1))
+select kind, seq, decision from s where seq is not null""")
 def q46_breaker_states(spark, sf_dir):
     a = je(spark, sf_dir).select("kind", "seq", F.col("seq").cast("double").alias("t"), (F.col("value") > 100).alias("ok"))
     return met.breaker_states(a, 3, 30.0)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspan.functions.scalars import bytes_from_ints
-from tallyspan.schema import MAX_ENVELOPE_BYTES, SCHEMA_VERSION, check_version, require
+from tallyspan.functions.scalars import bytes_from_ints, trace_valid, truncate_chars
+from tallyspan.schema import MAX_ENVELOPE_BYTES, MAX_TRACE_ENTRIES, SCHEMA_VERSION, check_version, require
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,17 +45,29 @@ def decode_envelopes(raw: DataFrame, column: str = "envelope") -> DataFrame:
     return x.select(*raw.columns, "__e.id", "__e.lane", "__e.kind", bytes_from_ints(F.col("__e.payload")).alias("payload"), "__e.attempts", "__e.max_attempts", F.coalesce("__e.priority", F.lit(0)).alias("priority"), "__e.trace_context")
 
 
-def encode_envelopes(jobs: DataFrame) -> DataFrame:
-    """``jobs`` with the JSON envelope; a null trace context is left out."""
+def encode_envelopes(jobs: DataFrame, most_bytes: int = MAX_ENVELOPE_BYTES) -> DataFrame:
+    """``jobs`` with the JSON envelope and an outcome: ok, trace_entries, trace_bytes or envelope_bytes for what is over a limit.
+
+    A null trace context is left out; where the outcome is not ok the envelope is null.
+    """
     ints = F.transform(F.sequence(F.lit(1), F.length("payload")), lambda i: F.conv(F.hex(F.substring(F.col("payload"), i, F.lit(1))), 16, 10).cast("int"))
     payload = F.when(F.length("payload") > 0, ints).otherwise(F.array().cast("array<int>"))
-    return jobs.withColumn("envelope", F.to_json(F.struct("id", "lane", "kind", payload.alias("payload"), "attempts", "max_attempts", "priority", "trace_context")))
+    text = F.to_json(F.struct("id", "lane", "kind", payload.alias("payload"), "attempts", "max_attempts", "priority", "trace_context"))
+    many = F.coalesce(F.cardinality("trace_context"), F.lit(0)) > MAX_TRACE_ENTRIES
+    bad = F.when(many, "trace_entries").when(~trace_valid(F.col("trace_context")), "trace_bytes").when(F.octet_length(text) > most_bytes, "envelope_bytes")
+    return jobs.withColumn("outcome", F.coalesce(bad, F.lit("ok"))).withColumn("envelope", F.when(bad.isNull(), text))
 
 
 def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("line"))
 
 
+def table_lines(df: DataFrame, error: str = "error") -> DataFrame:
+    """Lines of a listing: a row's columns between tabs, a long error cut."""
+    cols = [truncate_chars(F.col(c)) if c == error else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    return df.select(F.concat_ws("\t", *cols).alias("line"))
+
+
 def upsert_results(results: DataFrame, new: DataFrame) -> DataFrame:
     """One row a job: its last write. Numbers of ``new`` come after those of ``results``."""
     from tallyspan.operators.inspect import latest

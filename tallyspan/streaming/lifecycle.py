@@ -27,13 +27,17 @@ def claim_stream(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("schedule_id").applyInPandasWithState(step, "schedule_id string, ord long, occurrence long, claimed boolean", "mark long", "append", GroupStateTimeout.NoTimeout)
 
 
-def lease_stream(events: DataFrame) -> DataFrame:
+def lease_stream(events: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:
     """Leases by a clock column: rows (id, ord, op, t, lease) with op reserve, extend or ack to (id, ord, outcome).
 
     A reserve is granted if no lease runs at ``t``; a second grant is a redelivery. Extend and ack are stale after the end.
+    An id that was acked is forgotten ``keep_ms`` later, so the state holds running jobs and what was done lately.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         until, given, done = state.get if state.exists else (None, 0, False)
         out = []
         for r in pd.concat(list(frames)).sort_values("ord").itertuples():
@@ -50,28 +54,13 @@ def lease_stream(events: DataFrame) -> DataFrame:
                 what, done, until = "acked", True, None
             out.append((key[0], r.ord, what))
         state.update((until, given, done))
+        if done:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame(out, columns=["id", "ord", "outcome"])
 
-    return events.groupBy("id").applyInPandasWithState(step, "id string, ord long, outcome string", "until long, given long, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("id").applyInPandasWithState(step, "id string, ord long, outcome string", "until long, given long, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_rounds(stream: DataFrame, round_: Callable[[DataFrame, int], Any], checkpoint: str, **trigger: Any):
     """Start a query whose micro-batches each go through ``round_(batch, number)``, which writes the next snapshots."""
     return stream.writeStream.foreachBatch(round_).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def handle(jobs: DataFrame, handlers: dict[str, Callable[[bytes | None], bytes | None]]) -> DataFrame:
-    """(id, kind, result, error_class, error): each job through its kind's handler; an error is caught for its row."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples():
-                f = handlers.get(r.kind)
-                try:
-                    out.append((r.id, r.kind, None, "unknown_kind", r.kind) if f is None else (r.id, r.kind, f(r.payload), None, None))
-                except Exception as e:  # of user code
-                    out.append((r.id, r.kind, None, "handler", str(e)))
-            yield pd.DataFrame(out, columns=["id", "kind", "result", "error_class", "error"])
-
-    return jobs.select("id", "kind", "payload").mapInPandas(run, "id string, kind string, result binary, error_class string, error string")
