@@ -1,8 +1,7 @@
-"""Shared helpers: scratch tables in the shared folder, Arrow row mapping, connected components."""
+"""Shared helpers: Arrow row mapping, size-checked broadcasts, connected components."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,44 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Used only where the session names no shared folder (tests on one machine).
-DEFAULT_SCRATCH = "/tmp/checkpoints"
-#: Rows up to which a small table may be sent to every executor.
-BROADCAST_ROWS = 200_000
+from tallyspan.scratch import discard, materialise
 
+__all__ = ["discard", "materialise"]  # used from here by the operators
+#: Rows, and bytes of their files, up to which a written table may be sent to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH
-    return f"{base.rstrip('/')}/tallyspan-{name}-{uuid.uuid4().hex}"
 
-
-#: Spark deletes an execution's shuffle files at its end if this is set.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
-
-    The shuffle files of the write go at its end; nothing refers to them any more.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table of ``materialise`` that no later step reads."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def small(df: DataFrame) -> DataFrame:
+    """The written table ``df`` marked for broadcast if it is small in rows and bytes; else as it is, for Spark to plan."""
+    size = int(df._jdf.queryExecution().analyzed().stats().sizeInBytes())
+    few = size <= BROADCAST_BYTES and df.limit(max(0, BROADCAST_ROWS) + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(df) if few else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,7 +96,7 @@ def fields(**kinds: str) -> T.StructType:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a long, b long): root is the smallest node reachable.
+    """(node, root), written, for every node of ``edges`` (a long, b long): root is the smallest node reachable.
 
     Alternating large-star and small-star rounds; each is an aggregate and a join, written to the shared
     folder. The edge set at most doubles, and no group is collected anywhere: a hub of any degree is
@@ -156,4 +129,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = materialise(roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    discard(e)
+    return out

@@ -1,11 +1,10 @@
 """Benchmark decontamination as a prefix-filtered set join, in DataFrame functions only.
 
-An item is cut into windows of 10 words, a window into shingles of 3. One scan of the documents hashes the
-shingle at each word, finds it in the dictionary of benchmark shingles and compares its words, so every hit
-is exact. Over these hits: shingles are ordered by how often the documents hold them; for full containment the
-rarest shingle of a window is the whole necessary prefix, and only it is joined to get candidates; a candidate
-must fit into the document at its position; it is verified by finding all other shingles of its window at
-theirs. A window that lacks a shingle in all documents is dropped at once.
+An item is cut into windows of 10 words, a window into shingles of 3. Full containment needs every shingle of a window, so
+one of them is a sufficient prefix, and the rarest one is taken: shingles are ordered by how often the documents hold their
+rarest word, which one count of words tells. A window with a word that no document has is dropped at once. Of the
+documents only (id, position, hash) rows are joined with these prefixes. A candidate must fit into the document at its
+position; those left are gathered by document and compared there, word by word, with the words of their windows.
 """
 
 from __future__ import annotations
@@ -15,11 +14,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspan.llm.common import BROADCAST_ROWS, materialise
+from tallyspan.llm.common import discard, materialise, small
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Stands for the one row that each document has for itself; no shingle has this id.
+#: Stands for the one row that each document has for itself; no window has this id.
 ITSELF = -1
+SALTS = 256
 
 
 def words_of(text: Column) -> Column:
@@ -37,11 +37,6 @@ def _hashes(words: str, size: int) -> Column:
     return F.transform(words, lambda _, i: _hash(F.col(words), i, size))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it is small by count; else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -50,52 +45,59 @@ def contamination(
     A word is hit if an occurrence of any window covers it. Items with fewer than ``window`` words are one
     window; those without words have none. Null texts have no words; null ids are ids like any other;
     equal rows get equal results; an empty benchmark hits nothing. Null item ids are left out of ``items``.
+    Only the four named columns are read, so others may have any name. A text is one row of words in memory
+    while it is read; what is shuffled of it is a few bytes a word at most, and itself once where candidates are many.
     """
+    spark = docs.sparkSession
+    src = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item).cast("string").alias("item"), words_of(F.col(item_text)).alias("w")).where(F.size("w") > 0)
     wins = items.select("item", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))).alias("i"))
     wins = materialise(wins.select("item", F.slice("w", F.col("i"), F.lit(window)).alias("ww")).distinct(), "item-windows")
     named = materialise(wins.select("ww").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
-    items_of = wins.join(named, "ww").select("wid", "item")
-    size = F.least(F.size("ww"), F.lit(shingle))
-    parts = named.select("wid", F.size("ww").alias("len"), F.posexplode_outer(F.transform(F.sequence(F.lit(1), F.size("ww") - size + 1), lambda i: F.slice("ww", i, size))).alias("k", "sw"))
-    parts = materialise(parts, "window-shingles")
-    known = parts.select("sw").distinct().withColumn("sid", F.monotonically_increasing_id()).withColumn("h", _hash(F.col("sw"), F.lit(0), shingle))
-    known = materialise(known, "shingles")
-    parts = materialise(parts.join(known, "sw").select("wid", "len", "k", "sid"), "parts")
-    sizes = sorted(r[0] for r in known.select(F.size("sw")).distinct().collect())  # at most ``shingle`` values
-
-    # One scan: for each document and shingle size an array of hashes by word, and one entry for itself.
-    spark = docs.sparkSession
-    base = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), words_of(F.col(text)).alias("w"))
-    hashes = [_hashes("w", s) for s in sizes]
-    own = F.array(F.lit(ITSELF).cast("long"))
-    base = base.select("doc_id", "th", "w", F.size("w").alias("n_words"), F.concat(*hashes, own).alias("hs"))
-    rows = base.select("doc_id", "th", "n_words", "w", F.posexplode_outer("hs").alias("at", "h"))  # outer: else a filter that repeats the whole expression goes below
-    lookup = known.select("sid", "h", "sw").unionByName(spark.range(1).select(F.lit(ITSELF).cast("long").alias("sid"), F.lit(ITSELF).cast("long").alias("h"), F.array().cast("array<string>").alias("sw")))
-    last = F.col("n_words") * len(sizes)
-    pos = F.col("at") % F.greatest("n_words", F.lit(1))
-    which = F.element_at(F.array(*[F.lit(s) for s in sizes]), (F.col("at") / F.greatest("n_words", F.lit(1))).cast("int") + 1) if sizes else F.lit(0)
-    is_own = (F.col("sid") == ITSELF) & (F.col("at") == last)
-    is_hit = (F.col("sid") != ITSELF) & (F.col("at") < last) & (F.size("sw") == which) & (F.slice("w", pos + 1, F.size("sw")) == F.col("sw"))
-    hits = rows.join(small(lookup), "h").where(F.when(F.col("sid") == ITSELF, is_own).otherwise(is_hit))
-    hits = materialise(hits.select("doc_id", "th", "n_words", "sid", F.when(F.col("sid") != ITSELF, pos).alias("pos")), "hits")
-
-    every = hits.where(F.col("sid") == ITSELF).select("doc_id", "th", F.col("n_words").cast("long").alias("n_words"))
-    found = hits.where(F.col("sid") != ITSELF)
-    counts = materialise(found.groupBy("sid").agg(F.count(F.lit(1)).alias("n")), "rarity")
-    ordered = parts.join(counts, "sid", "left").groupBy("wid", "len").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("sid"), F.col("k"))).alias("p"), F.count(F.lit(1)).alias("need")
+    items_of = materialise(wins.join(named, "ww").select("wid", "item"), "items-of")
+
+    # Rarity: how often the documents hold each word of the benchmark.
+    words = named.select(F.explode("ww").alias("word")).distinct()
+    counts = src.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(words.join(counts, "word"), "word-counts")
+    each = named.select("wid", F.size("ww").alias("len"), F.posexplode("ww").alias("i", "word")).join(small(counts), "word", "left")
+    # At most ``window`` words a group.
+    each = each.groupBy("wid", "len").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("ws"))
+    size = F.least(F.col("len"), F.lit(shingle))
+    parts = F.transform(
+        F.sequence(F.lit(0), F.col("len") - size),
+        lambda k: F.struct(F.array_min(F.transform(F.slice("ws", k + 1, size), lambda x: x["n"])).alias("n"), F.transform(F.slice("ws", k + 1, size), lambda x: x["word"]).alias("sw"), k.alias("k")),
     )
-    prefix = materialise(ordered.where("p.n > 0").select("wid", "len", "need", "p.sid", "p.k"), "prefixes")
-    start = F.col("pos") - F.col("k")
-    cand = found.join(small(prefix), "sid").select("doc_id", "th", "wid", "len", "need", "n_words", start.alias("start"))
-    cand = cand.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words"))).drop("n_words").distinct()
-    alive = parts.join(prefix.select("wid"), "wid", "left_semi").select("wid", "k", "sid")
-    wanted = cand.join(small(alive), "wid").select("doc_id", "th", "wid", "len", "need", "start", "sid", (F.col("start") + F.col("k")).alias("pos"))
-    there = found.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("sid").alias("s2"), F.col("pos").alias("p2")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")) & (F.col("sid") == F.col("s2")) & (F.col("pos") == F.col("p2"))
-    whole = wanted.join(there, on, "left_semi").groupBy("doc_id", "th", "wid", "len", "need", "start").agg(F.count(F.lit(1)).alias("got"))
-    whole = materialise(whole.where("got = need").select("doc_id", "th", "wid", "start", (F.col("start") + F.col("len")).alias("end")), "occurrences")
+    prefix = each.where(F.forall("ws", lambda x: x["n"] > 0)).select("wid", "len", F.array_min(parts).alias("p"))
+    prefix = materialise(prefix.select("wid", "len", F.col("p.k").alias("k"), F.size("p.sw").alias("size"), _hash(F.col("p.sw"), F.lit(0), shingle).alias("h")), "prefixes")
+    sizes = sorted(r[0] for r in prefix.select("size").distinct().collect())  # at most ``shingle`` values
+
+    # For each document and shingle size an array of hashes by word, and one entry for itself.
+    base = src.select("doc_id", "th", words_of(F.col("text")).alias("w")).select("doc_id", "th", "w", F.size("w").alias("n_words"))
+    own = F.array(-1 - F.pmod("th", F.lit(SALTS)))  # spread, for where the join below is a shuffle
+    base = base.select("doc_id", "th", "n_words", F.concat(*[_hashes("w", s) for s in sizes], own).alias("hs"))
+    rows = base.select("doc_id", "th", "n_words", F.posexplode_outer("hs").alias("at", "h"))  # outer: else a filter that repeats the whole expression goes below
+    none = [F.lit(None).cast("int").alias(c) for c in ("len", "k", "size")]
+    lookup = prefix.select("wid", "len", "k", "size", "h").unionByName(spark.range(SALTS).select(F.lit(ITSELF).cast("long").alias("wid"), *none, (-1 - F.col("id")).alias("h")))
+    lookup = materialise(lookup, "lookup")
+    one = F.greatest("n_words", F.lit(1))
+    pos = F.col("at") % one
+    which = F.element_at(F.array(*[F.lit(s) for s in sizes]), (F.col("at") / one).cast("int") + 1) if sizes else F.lit(0)
+    last = F.col("at") == F.col("n_words") * len(sizes)
+    start = pos - F.col("k")
+    fits = (which == F.col("size")) & (start >= 0) & (start + F.col("len") <= F.col("n_words"))
+    hits = rows.join(small(lookup), "h").where(F.when(F.col("wid") == ITSELF, last).otherwise(~last & fits))
+    hits = materialise(hits.select("doc_id", "th", "n_words", "wid", F.when(F.col("wid") != ITSELF, start).alias("start")), "candidates")
+    every = hits.where(F.col("wid") == ITSELF).select("doc_id", "th", F.col("n_words").cast("long").alias("n_words"))
+
+    # Verified where the words are; the candidates of one document only are gathered.
+    cand = hits.where(F.col("wid") != ITSELF).select("doc_id", "th", "wid", "start").join(small(named), "wid")
+    cand = materialise(cand.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "wid", "ww")).alias("cs")).select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "cs"), "by-document")
+    here = src.join(small(cand), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))).select("doc_id", "th", "cs", words_of(F.col("text")).alias("w"))
+    true = F.filter("cs", lambda c: F.slice("w", c["start"] + 1, F.size(c["ww"])) == c["ww"])
+    found = F.transform(true, lambda c: F.struct(c["wid"].alias("wid"), c["start"].alias("start"), (c["start"] + F.size(c["ww"])).alias("end")))
+    whole = here.select("doc_id", "th", F.explode_outer(found).alias("c")).where("c is not null")
+    whole = materialise(whole.select("doc_id", "th", "c.*").distinct(), "occurrences")
 
     # Words of one document only: the length of the union of its intervals.
     spans = whole.select("doc_id", "th", "start", "end").distinct()
@@ -103,11 +105,14 @@ def contamination(
     spans = spans.withColumn("before", before)
     covered = spans.groupBy("doc_id", "th").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce("before", F.lit(0))))).alias("n_hit"))
     # As many ids as the benchmark has items, at most.
-    per_item = whole.select("doc_id", "th", "wid").distinct().join(small(materialise(items_of, "items-of")), "wid").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    per_item = whole.select("doc_id", "th", "wid").distinct().join(small(items_of), "wid").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("item")).alias("items"))
     got = covered.join(per_item, covered.doc_id.eqNullSafe(per_item.doc_id) & (covered.th == per_item.th)).select(covered.doc_id.alias("d2"), covered.th.alias("t2"), "n_hit", "items")
     out = every.join(got, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")), "left")
     items_col = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "th", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_col).cast("long").alias("n_items"), items_col.alias("items"))
+    out = out.select("doc_id", "th", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_col).cast("long").alias("n_items"), items_col.alias("items"))
+    out = materialise(out, "contamination")
+    discard(wins, named, items_of, counts, prefix, lookup, hits, cand, whole)
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

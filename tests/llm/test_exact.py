@@ -103,10 +103,32 @@ def test_decontamination_of_empty_tables(spark, docs):
     assert decontaminate.clean(df, bench).columns == ["doc_id", "text", "th"]
 
 
-def test_decontamination_runs_no_python(spark, docs):
-    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
-    plan = decontaminate.contamination(docs([(1, "a b c")]), bench)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def test_decontamination_runs_no_python(spark, docs, monkeypatch):
+    plans = []
+    keep = decontaminate.materialise
+    monkeypatch.setattr(decontaminate, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string").coalesce(1)
+    assert decontaminate.clean(docs([(1, "x a b c"), (2, "d")]), bench).count() == 1
+    assert len(plans) > 8 and not any(re.search("Python|Pandas|MapInArrow", p) for p in plans)
+
+
+def test_decontamination_without_broadcasts(spark, docs, rng, monkeypatch):
+    """The plan of a benchmark that is too large to be sent around gives the same rows, on a long document too."""
+    from tallyspan.llm import common
+
+    long = " ".join(rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(20_000))
+    rows = [(1, long), (1, long), (2, long[5000:6000]), (None, "q " + long[300:900]), (3, None)]
+    bench = spark.createDataFrame([(i, long[i * 700 : i * 700 + 300].strip()) for i in range(60)], "item_id long, text string")
+    shown = lambda: sorted((str(r.doc_id), r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.contamination(docs(rows), bench).collect())
+    want = shown()
+    assert want[0][2] > 1000
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shown() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def brute_print(text):
