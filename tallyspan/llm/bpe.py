@@ -172,7 +172,8 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ..
 
     A null text is encoded as the empty one: no tokens, digests of nothing. Rows are independent, so repeated
     rows and repeated or null ids give a row each. The vocabulary is read on the driver and broadcast;
-    its size is fixed by the file.
+    its size is fixed by the file. A text is held whole with its pieces; a very long piece takes time in proportion. Only
+    ``keep`` and the text are read, so other columns may have any name.
     """
     codec_of = _share(docs, path, pattern)
     out = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])

@@ -89,12 +89,17 @@ def slices(batch: pa.RecordBatch, first: int) -> Iterator[pa.RecordBatch]:
 _KINDS = {"int": T.IntegerType, "long": T.LongType, "double": T.DoubleType, "string": T.StringType, "binary": T.BinaryType, "boolean": T.BooleanType}
 
 
-def fields(**kinds: str) -> T.StructType:
-    """A schema of nullable fields from names of plain types; ``[long]`` is an array of long."""
-    made = {k: T.ArrayType(_KINDS[v[1:-1]]()) if v[0] == "[" else _KINDS[v]() for k, v in kinds.items()}
+def fields(**kinds: str | T.DataType) -> T.StructType:
+    """A schema of nullable fields from names of plain types, or types; ``[long]`` is an array of long."""
+    made = {k: v if isinstance(v, T.DataType) else T.ArrayType(_KINDS[v[1:-1]]()) if v[0] == "[" else _KINDS[v]() for k, v in kinds.items()}
     return T.StructType([T.StructField(k, v, True) for k, v in made.items()])
 
 
+def id_type(df: DataFrame, doc: str) -> T.DataType:
+    """The type in which ids are kept and compared: long for whole numbers, else text."""
+    return T.LongType() if isinstance(df.schema[doc].dataType, T.IntegralType) else T.StringType()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root), written, for every node of ``edges`` (a long, b long): root is the smallest node reachable.
 

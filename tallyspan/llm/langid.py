@@ -21,11 +21,16 @@ BITS = 15
 #: Documents of each language that training takes at most.
 PER_LANG = 800
 UNKNOWN = "und"
+#: Letters, and signs of numbers such as fractions and numerals, which str.isalpha tells apart.
 _LETTER = re.compile(r"[^\W\d_]")
 #: Code points handled at once; longer texts go in parts that overlap by two.
 PART = 1 << 19
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def grams(text: str) -> Iterator[np.ndarray]:
     """Bucket numbers of all n-grams of a text, part by part."""
     low = text.lower()
@@ -69,7 +74,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[st
         langs, logp = shared.value
 
         def one(t):
-            if not t or not langs or not _LETTER.search(t):
+            if not t or not langs or not has_letter(t):
                 return UNKNOWN, 0.0
             s = np.zeros(len(langs))
             for g in grams(t):
@@ -86,7 +91,8 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row; learnt from rows that are not held out.
 
     Rows with a null language are not learnt from. Texts that are null or have no letter are ``und``; so is all
-    if nothing was learnt. Ties go to the first language in order.
+    if nothing was learnt. Ties go to the first language in order. Equal rows get equal results; a very long text is
+    taken in parts of PART code points. Only doc_id, text and lang are read, so other columns may have any name.
     """
     known = docs.where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "lang")
     got = predict(docs.select("doc_id", "text"), fit(docs, known, per_lang))

@@ -244,7 +244,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, doc: str = "d
     """(doc_id, license, coverage, start_word, end_word, start_char, end_char), a row for each match.
 
     Ends are exclusive. Null and empty texts match nothing; repeated rows repeat their matches; several
-    templates may match one place. A match holds 0.8 of a template's words in order and spans at most 16 words more than
+    templates may match one place. A very long text is held whole with its words; only stretches with template words are aligned.
+    Only the two named columns are read, so others may have any name. A match holds 0.8 of a template's words in order and spans at most 16 words more than
     the template has, wherever the edits are; templates under five words match whole.
     """
     chosen = TEMPLATES if templates is None else templates

@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tallyspan.llm.common import fields, flat_map, map_rows, materialise
+from tallyspan.llm.common import discard, fields, flat_map, id_type, map_rows, materialise
 
 BLANKS = " \t\n\r\x0b\x0c"
 #: A line row; n_lines is set only in the one row that each document has for itself.
-_LINES = fields(hi="long", lo="long", doc="long", th="long", pos="binary", n_lines="long")
-_SEEN = fields(kind="int", hi="long", lo="long", doc="long", th="long", pos="binary", part="long")
+_LINES = {"hi": "long", "lo": "long", "doc": "long", "th": "long", "pos": "binary", "n_lines": "long"}
+_SEEN = {"kind": "int", "hi": "long", "lo": "long", "doc": "long", "th": "long", "pos": "binary", "part": "long"}
 DROP, OPEN = 0, 1
 
 
@@ -33,7 +34,7 @@ def _line_rows(min_chars: int):
     import xxhash
 
     def run(docs, ths, texts):
-        out: list[list] = [[] for _ in _LINES.fields]
+        out: list[list] = [[] for _ in _LINES]
         for doc, th, text in zip(docs, ths, texts, strict=True):
             lines = (text or "").split("\n")
             found: dict[bytes, list[int]] = {}
@@ -51,8 +52,8 @@ def _line_rows(min_chars: int):
     return run
 
 
-def _stream(min_docs: int):
-    names, types = _SEEN.names, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+def _stream(min_docs: int, seen: T.StructType):
+    names, types = seen.names, [to_arrow_type(f.dataType) for f in seen.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -93,23 +94,26 @@ def _stream(min_docs: int):
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, th, n_lines, n_dropped, bitmap): for every different (id, text hash) of ``docs`` its kept lines.
+    """(doc, th, n_lines, n_dropped, bitmap), written: for every different (id, text hash) of ``docs`` its kept lines.
 
     bitmap is zlib-compressed, a bit a line, 1 for kept. A line's key is the line without ASCII white space at
     both ends, A-Z in lower case. Keys of ``min_chars`` code points or more found in ``min_docs`` documents or
     more are dropped everywhere but in the largest id that holds them; all lines there stay. Null and empty
     texts are one empty line, which stays. Rows that share an id are one document for the count; a null id
-    is one document, smaller than all others. Equal rows get the same bitmap.
+    is one document, smaller than all others. Equal rows get the same bitmap. Ids are whole numbers or texts. A very long
+    text is held whole with its lines while they are hashed. Only the two named columns are read, so others may have any name.
     """
-    src = docs.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    lines = materialise(flat_map(src, ["doc", "th", "text"], _LINES, lambda: _line_rows(min_chars)), "lines")
+    kind = id_type(docs, doc)
+    rows, marks = (fields(**(x | {"doc": kind})) for x in (_LINES, _SEEN))
+    src = docs.select(F.col(doc).cast(kind).alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    lines = materialise(flat_map(src, ["doc", "th", "text"], rows, lambda: _line_rows(min_chars)), "lines")
     n = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = (
         lines.where("n_lines is null").select("hi", "lo", "doc", "th", "pos")
         .repartitionByRange(n, F.col("hi"), F.col("lo"), F.col("doc").desc_nulls_last())
         .sortWithinPartitions(F.col("hi"), F.col("lo"), F.col("doc").desc_nulls_last(), F.col("th"))
     )
-    seen = materialise(dealt.mapInArrow(_stream(min_docs), _SEEN), "seen")
+    seen = materialise(dealt.mapInArrow(_stream(min_docs, marks), marks), "seen")
     opened = seen.where(F.col("kind") == OPEN)
     # At most two hashes for each of the n tasks above.
     settled = opened.groupBy("hi", "lo").agg(F.sum("part").alias("docs"), F.max("doc").alias("keeper")).where(F.col("docs") >= min_docs)
@@ -133,7 +137,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc: s
 
         return run
 
-    return map_rows(joined, ["doc", "th", "n_lines"], ["n_lines", "gone"], fields(n_dropped="long", bitmap="binary"), make)
+    out = materialise(map_rows(joined, ["doc", "th", "n_lines"], ["n_lines", "gone"], fields(n_dropped="long", bitmap="binary"), make), "bitmaps")
+    discard(lines, seen)
+    return out
 
 
 def kept_lines(text: str | None, bitmap: bytes) -> str:
@@ -144,8 +150,8 @@ def kept_lines(text: str | None, bitmap: bytes) -> str:
 
 def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc: str, text: str) -> DataFrame:
     """The rows of ``docs`` as struct ``row`` with their text and bitmap."""
-    left = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row"), F.col(doc).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    right = bitmaps.select(F.col("doc").alias("d2"), F.col("th").alias("t2"), "n_lines", "n_dropped", "bitmap").hint("shuffle_hash")
+    left = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row"), F.col(doc).cast(id_type(docs, doc)).alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    right = bitmaps.select(F.col("doc").alias("d2"), F.col("th").alias("t2"), "n_lines", "n_dropped", "bitmap")
     return left.join(right, F.col("doc").eqNullSafe(F.col("d2")) & F.col("th").eqNullSafe(F.col("t2")))
 
 

@@ -110,7 +110,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: tuple[str, ...
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row; trained on rows that are not held out.
 
-    Repeated rows get a row each; without labels every score is 0.5. A label row counts once per document row.
+    Repeated rows get a row each; without labels every score is 0.5. A label row counts once per document row. Null and
+    empty texts get the bias alone. A text is held whole with its words while it is scored. Only doc_id, text and the
+    label are read, so other columns may have any name.
     """
     known = labels.where(fold(F.col("doc_id"), 3) != 1)
     model = fit(docs, known, per_class)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspan.llm import bpe, decontaminate, html, langid, licenses, linededup, quality, rules, simhash, substrings
-from tallyspan.llm.common import materialise, table
+from tallyspan.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -54,7 +54,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return linededup.digests(docs, materialise(linededup.keep_bitmaps(docs), "bitmaps"))
+    return linededup.digests(docs, linededup.keep_bitmaps(docs))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,8 +96,6 @@ def _grow(r: dict[str, np.ndarray], bad: np.ndarray, most: int = 3) -> Rule:
         for name, v in r.items():
             values = np.unique(v[inside])
             cuts = (values[:-1] + values[1:]) / 2
-            if len(cuts) > 200:
-                cuts = cuts[np.linspace(0, len(cuts) - 1, 200).astype(int)]
             b, g = np.sort(v[inside & bad]), np.sort(v[inside & ~bad])
             for above in (True, False):
                 p, n = np.searchsorted(b, cuts), np.searchsorted(g, cuts)
@@ -172,7 +170,8 @@ def base_failed(s: dict[str, Column]) -> Column:
 def verdicts(docs: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` plus statistics, base_failed, rule (first that holds, 0 for none) and kept, for every row.
 
-    Null and empty texts have no words and so fail the base; equal rows get equal verdicts.
+    Null and empty texts have no words and so fail the base; equal rows get equal verdicts. A text is held whole with its
+    words while it is measured. Only ``keep`` and the text are read, so other columns may have any name.
     """
     s = {c: F.col(c) for c in STATS}
     got = add_statistics(docs, keep, text)

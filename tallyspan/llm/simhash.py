@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspan.llm.common import connected_components, fields, map_rows, materialise
+from tallyspan.llm.common import connected_components, discard, fields, map_rows, materialise
 
 RADIUS = 3
 
@@ -68,7 +68,8 @@ def _longs(values: list[int]):
     return F.array(*[F.lit(v).cast("long") for v in values])
 
 
-#: Members up to which a group of candidates compares each with each.
+#: Members up to which a group of candidates compares each with each. It sets the cost only: both ways give edges that
+#: join the same components, as shown above, and a test runs either of them.
 PAIRED = 32
 _THIRDS = ((0, 21), (21, 43), (43, 64))
 
@@ -95,7 +96,7 @@ def _members(fps: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, fp, n) for few keys (key, n): the ball is put around the keys, so each fingerprint is dealt thrice only."""
     centres = _exploded(keys, True).where(F.col("key").bitwiseAND(F.col("out")) == F.col("out")).select(F.col("key").bitwiseXOR(F.col("flip")).alias("at"), "key", "n")
     plain = _exploded(fps, False).select(F.col("fp").bitwiseOR(F.col("out")).alias("at"), "fp")
-    return plain.join(centres.hint("shuffle_hash"), "at").select("key", "fp", "n").distinct()
+    return plain.join(centres, "at").select("key", "fp", "n").distinct()
 
 
 def _close(a, b):
@@ -103,7 +104,7 @@ def _close(a, b):
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) between different fingerprints ``fp`` (each there once) that join all within three bits."""
+    """Edges (a, b), written, between different fingerprints ``fp`` (each there once) that join all within three bits."""
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = _variants(fps.repartition(parts)).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1 and a <> b")
     sizes = materialise(sizes, "variant-groups")
@@ -114,7 +115,9 @@ def links(fps: DataFrame) -> DataFrame:
     pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: (b > a) & _close(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     some = some.select(F.explode_outer(pairs).alias("p")).where("p is not null").select("p.*").distinct()
     dense = materialise(members.where(F.col("n") > PAIRED).select("fp").distinct(), "dense")
-    return twos.unionByName(some).unionByName(_dense_links(dense)).distinct()
+    out = materialise(twos.unionByName(some).unionByName(_dense_links(dense)).distinct(), "links")
+    discard(sizes, members, dense)
+    return out
 
 
 def _dense_links(fps: DataFrame) -> DataFrame:
@@ -136,15 +139,20 @@ def components(prints: DataFrame) -> DataFrame:
     """
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     nodes = materialise(nodes, "nodes")
-    roots = materialise(connected_components(links(nodes.select("fp"))), "roots")
+    roots = connected_components(links(nodes.select("fp")))
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     placed = materialise(placed, "placed")
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = placed.join(lowest, "root").select(F.col("fp").alias("fp2"), "component_id")
+    of = materialise(placed.join(lowest, "root").select(F.col("fp").alias("fp2"), "component_id"), "components")
+    discard(nodes, roots, placed)
     return prints.join(of, prints.fp == F.col("fp2")).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint as 16 hex digits, component_id) for every row of ``docs``."""
+    """(doc_id, fingerprint as 16 hex digits, component_id) for every row of ``docs``.
+
+    Equal rows get equal results; a null or wordless text has fingerprint zero. A very long text is held whole, its shingles'
+    hashes are counted in parts. Only the two named columns are read, so others may have any name.
+    """
     prints = materialise(fingerprints(docs, width, doc, text), "prints")
     return components(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,14 +1,17 @@
 """BPE, HTML extraction, license scans."""
 
 import hashlib
+import time
+import tracemalloc
 
 import public_tokenizers
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tallyspan.llm import bpe, html, licenses
+from tallyspan.llm import bpe, common, html, licenses
 from tests.llm.conftest import random_texts
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -93,12 +96,59 @@ def test_html_extraction(spark):
 def test_winning_paths_are_by_host(spark):
     rows = [(n, f"https://h.example.org/{n}", PAGE.format(n=n)) for n in range(5)]
     got = html.winning_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert [(r.host, r.paths) for r in got] == [("h.example.org", ["body>div.layout-#>div.s#.story"])]
+    assert [(r.host, r.path, r.votes) for r in got] == [("h.example.org", "body>div.layout-#>div.s#.story", 5)]
+    hosts = {"HTTP://u:p@A.example:80/x": "a.example", "https://b?x": "b", "c/d": "", None: "", "http://[bad": "[bad"}
+    df = spark.createDataFrame([(u, h) for u, h in hosts.items()], "url string, want string")
+    assert df.where(html.host(F.col("url")) != F.col("want")).count() == 0
+
+
+@pytest.mark.parametrize("rows", [200_000, -1])
+def test_the_vote_of_a_host_corrects_a_page(spark, monkeypatch, rows):
+    """On its own the page would take the long list beside its short story."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    page = "<body><div class=box><div class=story><p>{}</p></div><div class=listing><p>{}</p></div></div>".format
+    short, long = "A short story.", "Many words of a list that is there on this page only. " * 9
+    pages = [(n, f"http://one.example/{n}", page("Story number of some length that is told here. " * 5, "few words")) for n in range(5)]
+    pages += [(10, "http://one.example/10", page(short, long)), (11, "http://other.example/", page(short, long)), (12, None, page(short, long)), (12, None, page(short, long))]
+    pages += [(13, "http://one.example/13", "<body><section><p>A page of another kind.</p></section>"), (14, "http://one.example/14", None)]
+    many = [(100 + n, f"http://one.example/{n}", f"<body><ul class='k{chr(97 + n // 2)}'><li>{'layout ' * 9}{n}</ul>") for n in range(40)]  # over five layouts
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages + many, "page_id long, url string, html string")).collect()}
+    assert got[10] == short and got[11] == got[12] == long.strip() and got[13] == "A page of another kind." and got[14] == ""
+    assert all(got[100 + n] == f"{'layout ' * 9}{n}" for n in range(40))
+
+
+def whole(source):
+    p = html.Page(source)
+    return p.text(p.chosen({}))
+
+
+def test_html_drops_no_text_of_an_article():
+    assert whole("<p>one</p><svg/><p>two</p>") == "one\n\ntwo"
+    assert whole("<p>one</p><svg><svg><text>no</text></svg>no</svg><math a='>'/><p>two</p>") == "one\n\ntwo"
+    assert whole("<article><svg-icon name=x></svg-icon><title-bar>all</title-bar><p>two</p></article>") == "all\n\ntwo"
+    assert whole('<article><div class="side-by-side"><p>left</p></div><p class="privacy">kept</p><p class="notice">too</p><div class="post-related"><p>and this</p></div></article>') == "left\n\nkept\n\ntoo\n\nand this"
+    assert whole("<p>a<!-->b</p><!---><p>c</p><!-- x --!><p>d</p>") == "ab\n\nc\n\nd"
+    inside = '<article><header><h1>T</h1></header><p>text</p><div class="ad-slot">buy</div><p class="ad">buy</p><div class="share-buttons">s</div><section id="comments"><p>c</p></section><div role="navigation">n</div><div hidden>h</div></article>'
+    assert whole(inside) == "T\n\ntext"
+    outside = '<div class="site-header">h</div><div class="cookie-notice">c</div><div class="side"><p>s</p></div><div class="story"><div class="story-header"><h1>T</h1></div><p>The text of the story.</p></div><a class="skip">k</a>'
+    assert whole(outside) == "T\n\nThe text of the story."
+
+
+def test_html_of_great_depth_takes_little_memory_and_time():
+    started = time.perf_counter()
+    tracemalloc.start()
+    assert whole("<div>" * 100_000 + "deep") == "deep"
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert whole("<b>" * 20_000 + "x" + "</i>" * 20_000) == "x"
+    assert whole("<p>" * 20_000 + "y" + "</div>" * 20_000) == "y"
+    assert time.perf_counter() - started < 30
 
 
 def test_html_survives_odd_markup():
-    for source in ("<", "<<<p>a", '<a href="x>y', "</div></p>", "<p " * 2000, '<p a="' * 2000, "<div>" * 3000 + "deep", "<!--", "<script>", "a<b"):
-        assert isinstance(html.Page(source).text(()), str)
+    for source in ("<", "<<<p>a", '<a href="x>y', "</div></p>", "<p " * 2000, '<p a="' * 2000, "<div>" * 3000 + "deep", "<!--", "<script>", "a<b", "<!>", "</>", "<svg", "<title"):
+        assert isinstance(whole(source), str)
+    assert whole("<script>var a = '</p>';</script><p>x") == "x" and whole("a &amp; b &#233;") == "a & b é"
 
 
 def brute_matches(a, b):
