@@ -206,6 +206,51 @@ def test_substring_dedup(docs, rng):
     assert removed > 500
 
 
+def test_substring_dedup_compares_words_before_it_removes_any(rng):
+    """Repeats that names propose wrongly: only windows that are equal word by word go."""
+    for _ in range(200):
+        early = [rng.choice("ab").encode() for _ in range(rng.randint(20, 300))]
+        late = list(early)
+        for _ in range(rng.randint(0, 4)):
+            late[rng.randrange(len(late))] = b"x"
+        cut = rng.randint(0, 5)
+        late = late[cut:]
+        proposed = []
+        for _ in range(rng.randint(1, 3)):
+            pos = rng.randrange(len(late) - 13) if len(late) > 13 else 0
+            lpos = min(pos + rng.choice([cut, cut, 0]), len(early) - 13)
+            n = rng.randint(1, max(1, min(len(late) - pos, len(early) - lpos) - 12))
+            proposed.append((pos, n, lpos))
+        at = sorted({(p, n, "d", 0, q) for p, n, q in proposed})
+        rows = substrings._merged("late", 1, *map(list, zip(*at, strict=True)), 13) if len(late) > 13 else []
+        pieces = [{"r": r, "pos": p, "n": n, "lpos": q, "block": k, "words": b" ".join(early[k * substrings.BLOCK : (k + 1) * substrings.BLOCK]).decode()} for _, _, r, p, n, _, _, q, k in rows]
+        kept, total = substrings._kept(b" ".join(late).decode(), pieces, 13)
+        gone = {x for p, n, q in proposed for k in range(n) if rows and late[p + k : p + k + 13] == early[q + k : q + k + 13] for x in range(p + k, p + k + 13)}
+        assert total == len(late) and kept == [w for i, w in enumerate(late) if i not in gone]
+
+
+def test_text_ids(spark):
+    a, line = " ".join(map(str, range(20))), "l" * 40
+    df = spark.createDataFrame([("b", a), ("a", a), ("c", "x"), (None, a)], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.n_removed) for r in substrings.dedup(df).collect()) == [("None", 0), ("a", 0), ("b", 20), ("c", 0)]
+    df = spark.createDataFrame([(x, line) for x in "abcde"], "doc_id string, text string")
+    assert sorted((r.doc_id, r.n_dropped) for r in linededup.digests(df, linededup.keep_bitmaps(df)).collect()) == [*((x, 1) for x in "abcd"), ("e", 0)]
+
+
+def test_clashing_columns(spark):
+    """Further columns of any name change nothing and come back where rows do."""
+    extra = ["th", "doc", "low", "n_words", "row", "__in0", "bitmap", "start"]
+    long = "some words that are here more than once in all of these documents and a few more\n"
+    more = ", ".join(f"`{x}` long" for x in extra)
+    df = spark.createDataFrame([(i, long * 3 + str(i), *range(len(extra))) for i in range(6)], f"doc_id long, text string, {more}")
+    bench = spark.createDataFrame([(1, long, *range(len(extra)))], f"item_id long, text string, {more}")
+    plain = df.drop(*extra)
+    same = lambda f: sorted(map(str, f(df).collect())) == sorted(map(str, f(plain).collect()))
+    assert same(lambda d: linededup.digests(d, linededup.keep_bitmaps(d)))
+    assert linededup.apply(df, linededup.keep_bitmaps(df)).columns == df.columns and decontaminate.clean(df, bench).count() == 0
+    assert same(substrings.dedup) and same(simhash.near_duplicates) and same(lambda d: decontaminate.contamination(d, bench))
+
+
 def test_substring_dedup_with_null_and_repeated_ids(docs):
     a = " ".join(map(str, range(20)))
     df = docs([(None, a), (None, a), (1, a), (1, a), (1, "x " + a), (2, a + " y"), (3, "z")])
