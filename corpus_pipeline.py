@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines of 40 characters or more that 5 or more of them share; n_chars follows."""
-    done = linededup.apply(docs, materialise(linededup.keep_bitmaps(docs), "bitmaps"))
+    done = linededup.apply(docs, linededup.keep_bitmaps(docs))
     return done.withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = rows.select(F.col("doc_id.doc_id").alias("__other"), F.col("doc_id.hash").alias("__hash"), (F.col("doc_id") == F.col("component_id")).alias("__first"))
     gone = materialise(rows, "near-copies")
     at = lambda x: (docs["doc_id"] == x["__other"]) & (same == x["__hash"])
-    left = docs.join(gone.hint("shuffle_hash"), at(gone), "left_anti")
+    left = docs.join(gone, at(gone), "left_anti")
     repeated = gone.where("__first")
     if repeated.isEmpty():
         return left
