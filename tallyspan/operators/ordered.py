@@ -25,13 +25,15 @@ class Ordered:
         self.keys, self.order = list(keys), [F.col(c) if isinstance(c, str) else c for c in order]
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = df.repartitionByRange(n, *[F.col(k) for k in self.keys], *self.order)
-        self.rows = materialise(dealt.withColumn(PART, F.spark_partition_id()), "ordered")
+        self.rows, self.written = materialise(dealt.withColumn(PART, F.spark_partition_id()), "ordered"), True
 
     def running(self, name: str, how: str, value: Column, more_keys: Sequence[str] = (), before: bool = False) -> Ordered:
         """The rows with column ``name``: sum, max or count of ``value`` up to each row, or up to the one ``before``.
 
         ``more_keys`` cut a key finer; they must never fall along the order. Sums and counts of nothing are 0, maxima null.
         """
+        if not self.written:  # they are read three times below
+            self.rows, self.written = materialise(self.rows, "running"), True
         keys = [*self.keys, *more_keys]
         key = F.struct(*[F.col(k) for k in keys], F.lit(0).alias("__0"))
         f, base = _HOW[how], F.lit(None if how == "max" else 0)
@@ -50,7 +52,7 @@ class Ordered:
         made = combine(F.coalesce("__local", base), F.coalesce("carry", base))
         other = Ordered.__new__(Ordered)
         other.keys, other.order = self.keys, self.order
-        other.rows = out.select(*[F.col(c) for c in self.rows.columns], made.alias(name))
+        other.rows, other.written = out.select(*[F.col(c) for c in self.rows.columns], made.alias(name)), False
         return other
 
     @property

@@ -22,11 +22,14 @@ def claims(attempts: DataFrame) -> DataFrame:
     Claimed if greater than all earlier occurrences of the schedule. A row with ``reset`` forgets the mark and
     claims nothing. The mark only rises, so it is the running maximum.
     """
-    resets = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in attempts.columns else F.lit(False)
-    a = Ordered(attempts.withColumn("__reset", resets), ["schedule_id"], ["ord"])
+    later = F.col("mark").isNull() | (F.col("occurrence") > F.col("mark"))
+    if "reset" not in attempts.columns:
+        a = Ordered(attempts, ["schedule_id"], ["ord"]).running("mark", "max", F.col("occurrence"), before=True).result
+        return a.withColumn("claimed", later)
+    a = Ordered(attempts.withColumn("__reset", F.coalesce(F.col("reset"), F.lit(False))), ["schedule_id"], ["ord"])
     a = a.running("__island", "sum", F.col("__reset").cast("long"))
     a = a.running("mark", "max", F.when(~F.col("__reset"), F.col("occurrence")), ["__island"], before=True).result
-    return a.withColumn("claimed", ~F.col("__reset") & (F.col("mark").isNull() | (F.col("occurrence") > F.col("mark")))).drop("__reset", "__island")
+    return a.withColumn("claimed", ~F.col("__reset") & later).drop("__reset", "__island")
 
 
 def non_decreasing(readings: DataFrame, clock: str = "now", order: str = "ord") -> DataFrame:
