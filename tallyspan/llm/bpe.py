@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -54,6 +55,27 @@ def split_table(path: str) -> dict[int, tuple[int, int]]:
     return out
 
 
+class _Remembered(dict):
+    """Values of ``make`` by key, kept until there are ``most()``; then it starts over."""
+
+    def __init__(self, make: Callable, most: Callable[[], int]):
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        got = self.make(key)
+        if len(self) >= self.most():
+            self.clear()
+        self[key] = got
+        return got
+
+
+class _Pieces(_Remembered):
+    """Long pieces are not kept."""
+
+    def __missing__(self, key):
+        return super().__missing__(key) if len(key) <= 64 else self.make(key)
+
+
 class Codec:
     """Encoder and decoder for one vocabulary; ``ranks`` and ``splits`` come from read_ranks and split_table."""
 
@@ -63,36 +85,25 @@ class Codec:
 
         self.ranks, self.splits = ranks, splits
         self.token = {r: t for t, r in ranks.items()}
+        self.size = {r: len(t) for t, r in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
         for t, r in ranks.items():
             if r in splits:
                 self.automaton.add_word(t.decode("latin-1"), r)
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.cut: dict[int, int] = {}
-        self.seen: dict[str, tuple[str, int, bytes]] = {}
+        self.compatible = _Remembered(lambda pair: self._border_stays(*pair), lambda: 400_000)
+        self.shorter = _Remembered(self._shorter, lambda: len(ranks) + 1)
+        self.seen = _Pieces(self._digest_parts, lambda: CACHE_PIECES)
 
-    def shorter(self, token: int) -> int:
+    def _shorter(self, token: int) -> int:
         """The longest other token that starts this one, or -1."""
-        got = self.cut.get(token)
-        if got is None:
-            b, got = self.token[token], -1
-            for n in range(len(b) - 1, 0, -1):
-                r = self.ranks.get(b[:n], -1)
-                if r in self.splits:
-                    got = r
-                    break
-            self.cut[token] = got
-        return got
-
-    def compatible(self, left: int, right: int) -> bool:
-        got = self.fits.get((left, right))
-        if got is None:
-            if len(self.fits) > 400_000:
-                self.fits.clear()
-            got = self.fits[left, right] = self._border_stays(left, right)
-        return got
+        b = self.token[token]
+        for n in range(len(b) - 1, 0, -1):
+            r = self.ranks.get(b[:n], -1)
+            if r in self.splits:
+                return r
+        return -1
 
     def _border_stays(self, a: int, b: int) -> bool:
         # Undo merges on both sides of the border, latest first. If the parts that then touch merge
@@ -117,36 +128,36 @@ class Codec:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        token, compatible, shorter, find = self.token, self.compatible, self.shorter, self.automaton.iter_long
+        size, compatible, shorter, find = self.size, self.compatible, self.shorter, self.automaton.iter_long
         latin = piece.decode("latin-1")
         # The longest tokens one after another; where these are compatible, as in half of all words, they are the result.
         ids = [r for _, r in find(latin)]
-        longest, at, fit = {}, 0, True
-        for k, r in enumerate(ids):
-            longest[at] = r
-            at += len(token[r])
-            fit = fit and (not k or compatible(ids[k - 1], r))
-        if fit and at == len(piece):
+        if all(map(compatible.__getitem__, zip(ids, ids[1:], strict=False))):
             return ids
+        longest, at = {}, 0
+        for r in ids:
+            longest[at] = r
+            at += size[r]
         closed = bytearray(len(piece) + 1)
         ids = []
-        pos, t = 0, longest[0]
+        pos, t, last = 0, longest[0], -1
         while True:
-            end = pos + len(token[t])
-            if not closed[end] and (not ids or compatible(ids[-1], t)):
+            end = pos + size[t]
+            if not closed[end] and (last < 0 or compatible[last, t]):
                 ids.append(t)
-                pos = end
+                pos, last = end, t
                 if pos == len(piece):
                     return ids
                 t = longest.get(pos, -1)
                 if t < 0:
                     t = longest[pos] = next(find(latin, pos))[1]
                 continue
-            t = shorter(t)
+            t = shorter[t]
             if t < 0:
                 closed[pos] = 1
                 t = ids.pop()
-                pos -= len(token[t])
+                pos -= size[t]
+                last = ids[-1] if ids else -1
 
     def encode(self, text: str) -> list[int]:
         return [i for p in self.find(text) for i in self.encode_piece(p.encode())]
@@ -156,15 +167,11 @@ class Codec:
 
     def of(self, piece: str) -> tuple[str, int, bytes]:
         """The piece's ids as text, their count and what they decode to."""
-        got = self.seen.get(piece)
-        if got is None:
-            if len(self.seen) >= CACHE_PIECES:
-                self.seen.clear()
-            ids = self.encode_piece(piece.encode())
-            got = ",".join(map(str, ids)), len(ids), self.decode(ids)
-            if len(piece) <= 64:
-                self.seen[piece] = got
-        return got
+        return self.seen[piece]
+
+    def _digest_parts(self, piece: str) -> tuple[str, int, bytes]:
+        ids = self.encode_piece(piece.encode())
+        return ",".join(map(str, ids)), len(ids), self.decode(ids)
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -183,12 +190,13 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ..
 
         def run(texts):
             n, ids, back = [], [], []
-            of, find = codec.of, codec.find
+            of, find = codec.seen.__getitem__, codec.find
             for t in texts:
-                got = list(map(of, find(t))) if t else []
-                n.append(sum(g[1] for g in got))
-                ids.append(hashlib.sha256(",".join([g[0] for g in got]).encode()).hexdigest())
-                back.append(hashlib.sha256(b"".join([g[2] for g in got])).hexdigest())
+                got = list(map(of, find(t or "")))
+                shown, counts, data = zip(*got, strict=True) if got else ((), (), ())
+                n.append(sum(counts))
+                ids.append(hashlib.sha256(",".join(shown).encode()).hexdigest())
+                back.append(hashlib.sha256(b"".join(data)).hexdigest())
             return n, ids, back
 
         return run
