@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyspan.schema import MAX_LANE_BYTES, MAX_TRACE_BYTES, MAX_TRACE_ENTRIES
+from tallyspan.schema import I64_MAX, MAX_LANE_BYTES, MAX_TRACE_BYTES, MAX_TRACE_ENTRIES
 
 SAFE_IDENT = r"^[A-Za-z_][A-Za-z0-9_]{0,62}$"
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
@@ -101,9 +103,12 @@ def jittered_ns(delay_ns: Column, attempts: Column, seed: Column, jitter: float,
 
 
 def heartbeat_ns(lease_ns: Column) -> Column:
-    """A third of the lease, rounded down, and 50 ms at least; null for null."""
-    third = F.call_function("div", lease_ns.cast("long"), F.lit(3).cast("long"))
-    return F.when(third.isNotNull(), F.greatest(third, F.lit(50_000_000).cast("long")))
+    """A third of the lease, rounded down, and 50 ms at least; null for null.
+
+    Exact for leases beyond a long too, as decimals; the largest long where a third is beyond it.
+    """
+    bounded = F.greatest(F.least(F.floor(lease_ns), F.lit(Decimal(3 * I64_MAX))), F.lit(150_000_000))
+    return F.when(lease_ns.isNotNull(), F.call_function("div", bounded, F.lit(3)))
 
 
 def claim_key(payload: Column) -> Column:

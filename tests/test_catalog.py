@@ -53,3 +53,17 @@ def test_whole_queries_take_every_event(spark, duck):
     assert batch | {r.returned for r in got["q05_batch_keys"]} == ids
     assert sorted(r.id for r in got["q18_requeue"]) == sorted(ids | {"x" + i for i in ids})
     assert {r.outcome for r in got["q18_requeue"]} == {"ok", "not_found", "live_conflict", "key_held"}
+
+
+def test_identifiers_of_leases_beyond_a_long(spark, tmp_path):
+    """Keys around 3074 and 9223, the last whose lease and whose third of it are longs; the SQL ends with the first one."""
+    keys = [0, 1, 2, 3, 3073, 3074, 3075, 3076, 9222, 9223, 9224, 9225, 14999, 900000, 2**63 - 1]
+    spark.createDataFrame([(k, f"Customer_{k}") for k in keys], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    df = catalog.QUERIES["q63_identifiers"](spark, str(tmp_path))
+    got = {r.c_custkey: r for r in df.collect()}
+    assert dict(df.dtypes)["heartbeat"] == "bigint"
+    assert {k: r.heartbeat for k, r in got.items()} == {k: min(max(k * 3000000000000001 // 3, 50_000_000), 2**63 - 1) for k in keys}
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet' where c_custkey <= 3074")
+    rel = con.sql(catalog.ORACLES["q63_identifiers"])
+    assert rows(df.columns, [r for k, r in got.items() if k <= 3074]) == rows(rel.columns, rel.fetchall())

@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime
+from decimal import Decimal
 from zoneinfo import ZoneInfo
 
 import pytest
@@ -392,6 +393,14 @@ def test_scalars(spark):
     assert v(sc.bad_key_character(F.lit("a*b:"))) == "*" and v(sc.safe_identifier(F.lit("9a"))) is False
 
 
+def test_heartbeats_of_leases_beyond_a_long(spark):
+    top = schema.I64_MAX
+    leases = [-(10**37), 0, 150_000_002, 150_000_003, top, top + 1, 3075 * 3000000000000001, 3 * top - 1, 3 * top, 3 * top + 3, 10**37]
+    rows = spark.createDataFrame([(Decimal(n),) for n in leases] + [(None,)], "n decimal(38,0)").select("n", sc.heartbeat_ns(F.col("n")).alias("h"))
+    assert dict(rows.dtypes)["h"] == "bigint"
+    assert {r.n: r.h for r in rows.collect()} == {None: None, **{n: min(max(n // 3, 50_000_000), top) for n in leases}}
+
+
 def test_envelopes_round_trip(spark):
     j = jobs(spark, [{"payload": b"\x00\xffz"}, {"payload": b""}]).drop("trace_context").withColumn("trace_context", F.create_map(F.lit("traceparent"), F.lit("x")))
     back = stores.decode_envelopes(stores.encode_envelopes(j).select("envelope")).orderBy("id").collect()
